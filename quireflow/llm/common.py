@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: What separates words in every contract of this subpackage.
@@ -61,6 +62,19 @@ def utf8_of(column: pa.Array) -> Iterator[bytes | None]:
     return (v.as_py() for v in column.cast(pa.binary()))
 
 
+def runs(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [start, stop) of a string or binary column that hold about `most` bytes each; a longer value is alone."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > start and total + n > most:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if len(size) > start:
+        yield start, len(size)
+
+
 def words_of(text: str) -> Column:
     """How many words a text column holds; null: 0."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
