@@ -52,10 +52,10 @@ def decode(words: np.ndarray) -> np.ndarray:
     return ((words ^ corrections()[syndrome]) >> np.uint32(BITS - DATA)).astype(np.int64)
 
 
-def neighbours(words: np.ndarray, bits: int, itself: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct indices of each word's one-bit neighbours within its low `bits` bits (and its own): an array of
-    indices, a row to each word, and the mask of those that count."""
-    flips = [1 << b for b in range(bits)] + [0] * itself
+def neighbours(words: np.ndarray, bits: range, itself: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct indices of each word's one-bit neighbours at `bits` (and its own): an array of indices, a row to
+    each word, and the mask of those that count."""
+    flips = [1 << b for b in bits] + [0] * itself
     found = np.sort(np.stack([decode(words ^ np.uint32(f)) for f in flips], axis=1), axis=1)
     first = np.ones(found.shape, dtype=bool)
     first[:, 1:] = found[:, 1:] != found[:, :-1]

@@ -6,8 +6,8 @@ Fingerprints of 64 bits are cut into three segments of 22, 21 and 21 bits, each
 * either a segment has no error; of the other two, one has at most 2: the key is the segment and an index of the other;
 * or every segment has an error; then two segments have exactly 1 (three errors in one would make 5): the key is a
   pair of indices. One fingerprint gives the neighbours' indices of the first segment with its own index of the
-  second, the other the reverse, so either gives about 5 keys, not 28. One error flips a segment's parity, which is
-  part of the key.
+  second, the other the reverse, so either gives about 5 keys, not 28. One error flips a segment's parity and leaves
+  one half of the segment as it is; both are part of the key, so that few keys meet by chance.
 
 Keys are counted with map-side combining; only rows of keys that can link anything go on. Keys of many fingerprints
 are cut into blocks, all pairs of which are compared. A group gives a spanning forest of its links, never all pairs.
@@ -67,8 +67,8 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     fps = fps.view(np.uint64)
     parts = [((fps >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.uint32) for at, bits in SEGMENTS]
     own = [golay.decode(p) for p in parts]
-    near = [golay.neighbours(p, bits) for p, (_, bits) in zip(parts, SEGMENTS)]
-    apart = [golay.neighbours(p, bits, False) for p, (_, bits) in zip(parts, SEGMENTS)]
+    near = [golay.neighbours(p, range(bits)) for p, (_, bits) in zip(parts, SEGMENTS)]
+    apart = [golay.neighbours(p, range(bits), False) for p, (_, bits) in zip(parts, SEGMENTS)]
     odd = [np.bitwise_count(p).astype(np.int64) & 1 for p in parts]
     keys, sides, rows = [], [], []
 
@@ -84,9 +84,11 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if i != j:
                 give(tag := tag + 1, parts[i].astype(np.int64) << np.int64(12), near[j], 0, 0)
     for i, j in ((0, 1), (0, 2), (1, 2)):
-        tag += 1
-        give(tag, own[j] | odd[i] << np.int64(24) | odd[j] << np.int64(25), apart[i], 1, 12)
-        give(tag, own[i] << np.int64(12) | (1 - odd[i]) << np.int64(24) | (1 - odd[j]) << np.int64(25), apart[j], 2, 0)
+        half = SEGMENTS[i][1] // 2
+        for kept, free in ((parts[i] >> np.uint32(half), range(half)), (parts[i] & np.uint32((1 << half) - 1), range(half, SEGMENTS[i][1]))):
+            tag, same = tag + 1, kept.astype(np.int64) << np.int64(26)
+            give(tag, same | own[j] | odd[i] << np.int64(24) | odd[j] << np.int64(25), golay.neighbours(parts[i], free, False), 1, 12)
+            give(tag, same | own[i] << np.int64(12) | (1 - odd[i]) << np.int64(24) | (1 - odd[j]) << np.int64(25), apart[j], 2, 0)
     return np.concatenate(keys), np.concatenate(sides), np.concatenate(rows)
 
 
