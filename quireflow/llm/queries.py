@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.llm import bpe, mixing, sharding, simhash, tokencount
+from quireflow.llm import bpe, licensescan, linededup, mixing, sharding, simhash, tokencount
 from quireflow.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "shards")
 
@@ -31,12 +35,56 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_rows(documents(spark, sf_dir))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _license_sql() -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    form = f"translate(text, {quoted(licensescan.UPPER + licensescan.MARKS)}, {quoted(licensescan.LOWER + ' ' * len(licensescan.MARKS))})"
+    form = f"regexp_replace({form}, {quoted('(?m)' + licensescan.COPYRIGHT)}, ' ', 'g')"
+    form = f"' ' || trim(regexp_replace({form}, {quoted(licensescan.BLANKS)}, '  ', 'g'), ' ') || ' '"
+    for a, b in licensescan.SPELLINGS:
+        form = f"replace({form}, {quoted(' ' + a.replace(' ', '  ') + ' ')}, {quoted(' ' + b + ' ')})"
+    known = ", ".join(f"({quoted(name)}, {quoted(digest)})" for name, digest in licensescan.known_digests())
+    return f"""
+WITH known AS (SELECT digest, min(license) AS license FROM (VALUES {known}) AS k(license, digest) GROUP BY digest),
+own AS (SELECT doc_id, sha256({form}) AS digest FROM documents)
+SELECT doc_id, own.digest, license FROM own LEFT JOIN known ON known.digest = own.digest
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op10_line_dedup": r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i, len(lines) AS n FROM docs),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
+ends AS (SELECT *, i = n - 1 OR (i >= 1 AND (lag(h) OVER w * 31 + h) % 4 = 0) AS stop FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+placed AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ends),
+units AS (
+    SELECT doc_id, min(i) AS start, max(i) + 1 AS stop, string_agg(line, chr(10) ORDER BY i) AS unit FROM placed GROUP BY doc_id, chunk HAVING count(*) > 1
+    UNION ALL
+    SELECT doc_id, i, i + 1, line FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
+),
+again AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start, stop) AS r FROM units),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM again WHERE r > 1),
+left_ AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS lines_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS t
+    FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines::INT AS n_lines, lines_removed::INT AS lines_removed, strlen(t) AS n_bytes, sha256(t) AS text_sha256 FROM left_
+""",
+}
