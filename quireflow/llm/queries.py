@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.llm import bpe, licensescan, linededup, mixing, sharding, simhash, tokencount
+from quireflow.llm import bpe, langid, licensescan, linededup, mixing, sharding, simhash, tokencount
 from quireflow.llm.common import documents
 
 
@@ -27,6 +27,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.learnt(docs))
+    return found.select("doc_id", F.coalesce(langid.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(documents(spark, sf_dir))
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
