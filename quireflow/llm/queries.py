@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.llm import bpe, langid, licensescan, linededup, mixing, sharding, simhash, tokencount
+from quireflow.llm import bpe, langid, licensescan, linededup, media, mixing, sharding, simhash, tokencount, topk
 from quireflow.llm.common import documents
 
 
@@ -27,6 +27,15 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir))
 
 
+def op5_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(documents(spark, sf_dir))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs, langid.learnt(docs))
@@ -50,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_source_mixing": op3_source_mixing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_flac_media": op5_flac_media,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
@@ -74,6 +85,12 @@ SELECT doc_id, own.digest, license FROM own LEFT JOIN known ON known.digest = ow
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_exact_top_k": """
+WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM ok q JOIN ok c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM scores)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""",
     "op2_license_scan": _license_sql(),
     "op10_line_dedup": r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
