@@ -144,7 +144,7 @@ def strip_prefixes(label: Column) -> Column:
 
 def money(amount: Column, currency: str) -> Column:
     """Two decimals and the currency; amounts are decimals, so halves round up."""
-    return F.concat_ws(" ", F.format_string("%.2f", amount.cast("decimal(18,2)")), F.lit(currency))
+    return F.concat_ws(" ", amount.cast("decimal(18,2)").cast("string"), F.lit(currency))
 
 
 def coordinates(values: Column) -> Column:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quireflow.constants import ALIGN_IOU, AP_THRESHOLDS, FIELD_IOU
 from quireflow.functions import geometry as G
+from quireflow.operators.grouped import Arrays, map_groups
 
 
 def nearest_region(tokens: DataFrame, regions: DataFrame, key: str = "doc", token_pos: str = "pos", region_pos: str = "region_pos") -> DataFrame:
@@ -56,14 +56,15 @@ def greedy_align(truth: DataFrame, predicted: DataFrame, key: str = "doc", truth
     """(key, truth_pos, predicted_pos, iou): true boxes in their order take the free predicted box that overlaps them
     most, if it does so enough. Only overlapping pairs reach the grouped function, a document at a time."""
 
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        found = _greedy(pairs[truth_pos].to_numpy(), pairs[predicted_pos].to_numpy(), pairs["iou"].to_numpy(), threshold)
-        rows = [(pairs[key].iloc[0], f, o, i) for f, (o, i) in found.items()]
-        return pd.DataFrame(rows, columns=[key, truth_pos, predicted_pos, "iou"])
+    def run(pairs: Arrays) -> Arrays:
+        found = _greedy(pairs["t"], pairs["p"], pairs["iou"], threshold)
+        first = np.array(list(found), dtype=np.int64)
+        return {truth_pos: first, predicted_pos: np.array([o for o, _ in found.values()], dtype=np.int64), "iou": np.array([i for _, i in found.values()], dtype=float)}
 
     pairs = iou_pairs(truth, predicted, [key], truth_pos, predicted_pos)
-    pairs = pairs.withColumn(truth_pos, F.col(truth_pos).cast("long")).withColumn(predicted_pos, F.col(predicted_pos).cast("long"))
-    return pairs.groupBy(key).applyInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, {truth_pos} long, {predicted_pos} long, iou double")
+    small = pairs.select(key, F.col(truth_pos).cast("long").alias("t"), F.col(predicted_pos).cast("long").alias("p"), "iou")
+    out = {truth_pos: "int64", predicted_pos: "int64", "iou": "double"}
+    return map_groups(small, [key], ["t", "p"], run, out, f"{key} {dict(pairs.dtypes)[key]}, {truth_pos} long, {predicted_pos} long, iou double")
 
 
 def detections_matched(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = AP_THRESHOLDS, key: str = "doc", by: tuple[str, ...] = ()) -> DataFrame:
@@ -74,27 +75,30 @@ def detections_matched(predicted: DataFrame, truth: DataFrame, thresholds: tuple
     """
     keys = [key, *by]
 
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.sort_values(["confidence", "pred_pos"], ascending=[False, True], kind="stable")
-        rank = pd.factorize(pairs["pred_pos"])[0]
-        names = pairs.groupby(rank)["pred_pos"].first().to_numpy()
+    def run(pairs: Arrays) -> Arrays:
+        # candidates of each prediction side by side: predictions by confidence, their candidates by overlap
+        at = np.lexsort((pairs["pos"], -pairs["iou"], pairs["pred_pos"], -pairs["confidence"]))
+        name, other, iou = pairs["pred_pos"][at], pairs["pos"][at], pairs["iou"][at]
+        starts = np.nonzero(np.concatenate(([True], name[1:] != name[:-1])))[0].tolist()
+        stops = [*starts[1:], len(name)]
         rows = []
         for t in thresholds:
-            free = np.ones(int(pairs["pos"].max()) + 1, dtype=bool)
-            for r in range(len(names)):
-                own = pairs[rank == r]
-                own = own[free[own["pos"].to_numpy()]].sort_values(["iou", "pos"], ascending=[False, True])
-                best = float(own["iou"].iloc[0]) if len(own) else 0.0
-                hit = best >= t and len(own) > 0
+            taken: set[int] = set()
+            for s, e in zip(starts, stops):
+                best = next((i for i in range(s, e) if other[i] not in taken), None)
+                overlap = float(iou[best]) if best is not None else 0.0
+                hit = best is not None and overlap >= t
                 if hit:
-                    free[int(own["pos"].iloc[0])] = False
-                rows.append((*(pairs[k].iloc[0] for k in keys), int(names[r]), t, int(hit), best))
-        return pd.DataFrame(rows, columns=[*keys, "pred_pos", "threshold", "tp", "best_iou"])
+                    taken.add(int(other[best]))
+                rows.append((int(name[s]), t, int(hit), overlap))
+        columns = list(zip(*rows))
+        return {n: np.array(c, dtype=k) for n, c, k in zip(("pred_pos", "threshold", "tp", "best_iou"), columns, (np.int64, float, np.int32, float))}
 
     base = predicted.withColumn("pred_pos", F.col("pred_pos").cast("long"))
     pairs = iou_pairs(base, truth.withColumn("pos", F.col("pos").cast("long")), keys, "pred_pos", "pos").join(base.select(*keys, "pred_pos", F.col("confidence").cast("double").alias("confidence")), [*keys, "pred_pos"])
     kinds = dict(predicted.dtypes)
-    matched = pairs.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pred_pos long", "threshold double", "tp int", "best_iou double"]))
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pred_pos long", "threshold double", "tp int", "best_iou double"])
+    matched = map_groups(pairs, keys, ["pred_pos", "pos"], run, {"pred_pos": "int64", "threshold": "double", "tp": "int32", "best_iou": "double"}, schema)
     levels = base.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     return levels.join(matched, [*keys, "pred_pos", "threshold"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
 

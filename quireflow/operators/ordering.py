@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quireflow.constants import DEDUP_IOU, LINE_SHARE, LINE_TOLERANCE, READING_BUCKET
 from quireflow.functions import geometry as G, text
+from quireflow.operators.grouped import Arrays, map_groups
 
 
 def _lines(y: np.ndarray, x: np.ndarray, tolerance: float, rtl: bool) -> np.ndarray:
@@ -40,16 +40,16 @@ def line_order(items: DataFrame, key: str = "stem", box: str = "bbox", pos: str
     boxes alone does it, a page at a time, and the result joins the items again.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("p", kind="stable")
+    def run(page: Arrays) -> Arrays:
         height = np.maximum(1, page["y2"] - page["y1"])
         near = max(LINE_TOLERANCE, int(np.median(height) * LINE_SHARE)) if tolerance is None else tolerance
-        rank = _lines(((page["y1"] + page["y2"]) / 2).to_numpy(), ((page["x1"] + page["x2"]) / 2).to_numpy(), near, direction == "rtl")
-        return pd.DataFrame({key: page[key], pos: page["p"], "reading_order": rank})
+        rank = _lines((page["y1"] + page["y2"]) / 2, (page["x1"] + page["x2"]) / 2, near, direction == "rtl")
+        return {pos: page["p"], "reading_order": rank}
 
-    small = items.select(key, F.col(pos).cast("long").alias("p"), *[F.col(f"{box}.{n}").alias(n) for n in G.XYXY])
-    ordered = small.groupBy(key).applyInPandas(run, f"{key} {dict(items.dtypes)[key]}, {pos} long, reading_order long")
-    return items.join(ordered.withColumn(pos, F.col(pos).cast(dict(items.dtypes)[pos])), [key, pos])
+    kinds = dict(items.dtypes)
+    small = items.select(key, F.col(pos).cast("long").alias("p"), *[F.col(f"{box}.{n}").cast("double").alias(n) for n in G.XYXY])
+    ordered = map_groups(small, [key], ["p"], run, {pos: "int64", "reading_order": "int64"}, f"{key} {kinds[key]}, {pos} long, reading_order long")
+    return items.join(ordered.withColumn(pos, F.col(pos).cast(kinds[pos])), [key, pos])
 
 
 def line_tolerance(items: DataFrame, key: str = "stem", box: str = "bbox") -> DataFrame:
@@ -117,22 +117,22 @@ def dedup_tokens(tokens: DataFrame, key: str = "doc", word: str = "text", box: s
     seen = tokens.withColumn("_norm", norm)
     small = seen.select(key, "_norm", F.col(pos).cast("long").alias("p"), F.col(confidence).cast("double").alias("c"), *[F.col(f"{box}.{n}").cast("double").alias(n) for n in G.XYXY])
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("p", kind="stable").sort_values("c", ascending=False, kind="stable")
-        b = group[list(G.XYXY)].to_numpy()
+    def run(group: Arrays) -> Arrays:
+        at = np.lexsort((group["p"], -group["c"]))
+        b = np.stack([group[n][at] for n in G.XYXY], axis=1)
         size = np.maximum(0, b[:, 2] - b[:, 0]) * np.maximum(0, b[:, 3] - b[:, 1])
         kept: list[int] = []
         for i in range(len(b)):
             k = np.array(kept, dtype=int)
             both = np.maximum(0, np.minimum(b[k, 2], b[i, 2]) - np.maximum(b[k, 0], b[i, 0])) * np.maximum(0, np.minimum(b[k, 3], b[i, 3]) - np.maximum(b[k, 1], b[i, 1]))
             union = size[k] + size[i] - both
-            if not (np.where(union > 0, both / np.where(union > 0, union, 1), 0.0) >= threshold).any():
+            if not (both[union > 0] / union[union > 0] >= threshold).any():
                 kept.append(i)
-        return group.iloc[kept][[key, "p"]]
+        return {"p": group["p"][at[kept]]}
 
     counted = small.withColumn("n", F.count("*").over(Window.partitionBy(key, "_norm")))
     alone = counted.where("n = 1").select(key, "p")
-    stay = counted.where("n > 1").drop("n").groupBy(key, "_norm").applyInPandas(run, f"{key} {dict(tokens.dtypes)[key]}, p long")
+    stay = map_groups(counted.where("n > 1").drop("n"), [key, "_norm"], ["p"], run, {"p": "int64"}, f"{key} {dict(tokens.dtypes)[key]}, _norm string, p long").select(key, "p")
     kept = alone.unionByName(stay).withColumn(pos, F.col("p").cast(dict(tokens.dtypes)[pos])).select(key, pos)
     return tokens.join(kept, [key, pos], "left_semi")
 

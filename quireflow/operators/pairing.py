@@ -61,34 +61,26 @@ def hash_order(key: Column, seed: int = SPLIT_SEED) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
-def split_sizes(n: int, shares: dict[str, str]) -> dict[str, int]:
-    """Exact sizes: the whole part of each share of n, what is left over to the last one. Shares that don't sum to 1
-    are scaled."""
-    total = sum(map(Decimal, shares.values()))
-    sizes = {name: int(n * Decimal(s) / total) for name, s in shares.items()}
-    *first, last = shares
-    return {**{name: sizes[name] for name in first}, last: n - sum(sizes[name] for name in first)}
-
-
 def split(rows: DataFrame, key: str = "stem", shares: dict[str, str] | None = None, seed: int = SPLIT_SEED) -> DataFrame:
-    """rows with `split`, exact in size: rows in hash order, the first ones to the first split.
+    """rows with `split`, exact in size: rows in hash order, the first ones to the first split. A split has the whole
+    part of its share of all rows, the last one what is left over; shares that don't sum to 1 are scaled.
 
     The rank is a bucket's start plus the rank within it, so no task sorts all rows. Equal keys are ordered by the
     rest of the row's hash; a null key takes part.
     """
     shares = shares or SPLITS
     order = rows.withColumn("_order", hash_order(F.coalesce(F.col(key).cast("string"), F.lit("")), seed)).withColumn("_bucket", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-    counts = {r["_bucket"]: r["count"] for r in order.groupBy("_bucket").count().collect()}
-    starts, total = {}, 0
-    for bucket in sorted(counts):
-        starts[bucket], total = total, total + counts[bucket]
-    begin = F.array(*[F.lit(starts.get(b, 0)).cast("long") for b in range(BUCKETS)]) if total else F.array(F.lit(0).cast("long"))
-    rank = F.get(begin, F.col("_bucket")) + F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key))
-    label, end = None, 0
-    for name, size in split_sizes(total, shares).items():
-        end += size
-        label = F.when(rank <= end, name) if label is None else label.when(rank <= end, name)
-    return order.withColumn("split", label).drop("_order", "_bucket")
+    # at most BUCKETS rows: their running sums are one small task's work, and they are broadcast within that bound
+    counts = order.groupBy("_bucket").agg(F.count("*").alias("_c"))
+    w = Window.orderBy("_bucket")
+    starts = counts.select("_bucket", (F.sum("_c").over(w) - F.col("_c")).alias("_start"), F.sum("_c").over(Window.partitionBy()).alias("_total"))
+    met = order.join(F.broadcast(starts), "_bucket").withColumn("_rank", F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key)))
+    scale, end, label = sum(map(Decimal, shares.values())), F.lit(0).cast("long"), None
+    *first, last = shares.items()
+    for name, share in first:
+        end = end + F.floor(F.col("_total").cast("decimal(18,0)") * F.lit(Decimal(share) / scale).cast("decimal(18,12)")).cast("long")
+        label = F.when(F.col("_rank") <= end, name) if label is None else label.when(F.col("_rank") <= end, name)
+    return met.withColumn("split", label.otherwise(last[0]) if label is not None else F.lit(last[0])).drop("_order", "_bucket", "_start", "_total", "_rank")
 
 
 def split_counts(rows: DataFrame) -> DataFrame:
