@@ -54,7 +54,8 @@ class Counter_:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.table, self.cache = table, {}
+        #: Counts of chunks, and of pre-tokens in the letters of the vocabulary.
+        self.table, self.cache, self.pieces = table, {}, {}
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -78,15 +79,15 @@ class Counter_:
         words = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(text))
         count = 0
         for word, _ in words:
-            n = self.cache.get(word := "\0" + word)
+            n = self.pieces.get(word)
             if n is None:
-                n = self.cache[word] = len(self.tok.model.tokenize(word[1:]))
+                n = self.pieces[word] = len(self.tok.model.tokenize(word))
             count += n
         return count
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
+        if len(self.cache) > CACHE or len(self.pieces) > CACHE:
+            self.cache, self.pieces = {}, {}
         out, easy, at = [0] * len(texts), [], []
         for i, text in enumerate(texts):
             parts = [text]
