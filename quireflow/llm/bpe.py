@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import tokenfiles
-from quireflow.llm.common import runs
+from quireflow.llm.common import in_batches, runs
 
 #: Entries in each generation of a worker's caches, and words that one recursive query takes.
-CACHE, AT_ONCE = 150_000, 50_000
+CACHE, AT_ONCE = 100_000, 50_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
 
@@ -182,4 +182,4 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.
                 columns = [pc.add(pc.count_substring(coded, " "), pc.cast(pc.not_equal(coded, ""), pa.int32())).cast(pa.int64()), pa.array(sha), pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == y for x, y in zip(raw, back)]), coded]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns[: 4 + ids]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_ok", "ids_text"][: 5 + ids])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, SCHEMA + ", ids_text string" * ids)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, SCHEMA + ", ids_text string" * ids)

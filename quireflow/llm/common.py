@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,6 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Bytes of an Arrow batch, and the session's setting for them.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: What separates words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +51,30 @@ def drop_table(df: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release() -> None:
+    """Hands memory that a Python worker no longer uses back to the system: workers outlive their tasks, and what one
+    operator needed at its peak would otherwise add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, whatever the length of texts, and with release() after each task.
+    The bound is a setting of the session, made unless it has one."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING, None) is None or int(re.sub(r"\D", "", spark.conf.get(BATCH_SETTING)) or 0) <= 0:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """fn over the record batches of df; None gives no rows."""
 
@@ -54,7 +83,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return in_batches(df, run, schema)
 
 
 def utf8_of(column: pa.Array) -> Iterator[bytes | None]:

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quireflow.llm.common import cut, runs
+from quireflow.llm.common import cut, in_batches, release, runs
 
 #: Production parameters: longest n-gram, rows of each language to learn from and to calibrate on, absolute discount.
 ORDER, SAMPLE, CALIBRATION, DISCOUNT = 3, 1500, 300, 0.75
@@ -172,7 +172,7 @@ def tallies(rows: DataFrame) -> DataFrame:
                         some, count = np.unique(grams(codes, n)[~pads[n - 1 :]], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), n, dtype=np.int32)), pa.array(some.view(np.int64)), pa.array(count.astype(np.int64))], ["lang", "n", "gram", "count"])
 
-    return rows.select("lang", "t").mapInArrow(run, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
+    return in_batches(rows.select("lang", "t"), run, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
 def estimate(languages: list[str], lang: np.ndarray, n: np.ndarray, gram: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> Model:
@@ -246,7 +246,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
                 own = [model.languages.index(x) for x in batch.column(0).slice(start, stop - start).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(entropy[np.arange(len(own)), own]), pa.array(length), pa.array(has)], ["lang", "e", "n", "has"])
 
-    scored = rows.select("lang", "t").mapInArrow(run, "lang int, e double, n long, has boolean").where("has")
+    scored = in_batches(rows.select("lang", "t"), run, "lang int, e double, n long, has boolean").where("has")
     for r in scored.groupBy("lang").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect():
         model.limit[r["lang"]] = r["m"], max(r["s"], 0.1), 1.0
     for i in np.nonzero(model.limit[:, 0] == 0)[0]:  # nothing to calibrate on: nothing is rejected
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names, score, rejected = shared.value.predict([t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -279,6 +279,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 names, score, rejected = shared.value.predict([t or "" for t in column.slice(start, stop - start).to_pylist()])
                 out.append(pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
+        release()
 
     found = F.pandas_udf(of, "lang_pred string, score double, rejected boolean")(F.col(text).cast("string"))
     return docs.withColumn("_found", found).select(*docs.columns, F.col("_found.lang_pred").alias("_lang_pred"), F.col("_found.score").alias("_score"), F.col("_found.rejected").alias("_rejected"))

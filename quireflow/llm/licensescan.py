@@ -39,6 +39,7 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("recognise", "recognize"),
     ("sub license", "sublicense"),
+    ("sublicence", "sublicense"),
     ("whilst", "while"),
     ("wilful", "willful"),
     ("non commercial", "noncommercial"),

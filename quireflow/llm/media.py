@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import flac
-from quireflow.llm.common import runs
+from quireflow.llm.common import in_batches, runs
 
 #: Bytes to whose multiple a payload is padded, and whose CRC-32 is taken at its end.
 PAD = 64
@@ -46,7 +46,7 @@ def to_media(docs: DataFrame, text: str = "text") -> DataFrame:
             media = flac.encode([padded(t) for t in texts])
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t")), run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(media: DataFrame, column: str = "media") -> DataFrame:
@@ -64,7 +64,7 @@ def pcm_blocks(media: DataFrame, column: str = "media") -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"])
 
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("binary").alias("m")).mapInArrow(run, "doc_id long, block int, sample_offset long, n_samples int, byte_offset long, pcm binary")
+    return in_batches(media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("binary").alias("m")), run, "doc_id long, block int, sample_offset long, n_samples int, byte_offset long, pcm binary")
 
 
 def digests(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -82,4 +82,4 @@ def digests(docs: DataFrame, text: str = "text") -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("t")), run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import tokenfiles
-from quireflow.llm.common import runs
+from quireflow.llm.common import in_batches, runs
 
 #: Entries of the broadcast table, longest pre-token in it (bytes), rows sampled for it; entries of a worker's cache.
 TABLE, LONGEST, SAMPLE, CACHE = 50_000, 32, 2_000, 300_000
@@ -159,4 +159,4 @@ def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = "word_bp
             n = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

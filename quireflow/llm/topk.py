@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quireflow.llm.common import cut
+from quireflow.llm.common import cut, in_batches
 
 #: Production parameters: results of a query, groups of dimensions, vectors in a block of candidates and of queries.
 K, GROUPS, BLOCK, QUERIES = 5, 4, 4096, 512
@@ -58,7 +58,7 @@ def packed(vectors: DataFrame, block: int) -> DataFrame:
 
     ok = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("vec_id").isNotNull()
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(ok & finite).mapInArrow(run, "dim int, n int, ids binary, data binary")
+    return in_batches(vectors.where(ok & finite), run, "dim int, n int, ids binary, data binary")
 
 
 class Best:
@@ -175,7 +175,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, groups: int = GRO
                 cutoff = np.array([cuts.get(x, -np.inf) for x in qids.tolist()])
                 yield pa.RecordBatch.from_arrays([batch.column(n).slice(i, 1) for n in ("dim", "qids", "qdata")] + [pa.array([cutoff.tobytes()], pa.binary())], ["dim", "qids", "qdata", "cutoff"])
 
-    gathered = met(asked).select("qids", "qdata", "ids", "data").mapInArrow(phase1, "query_id long, vec_id long, score long")
+    gathered = in_batches(met(asked).select("qids", "qdata", "ids", "data"), phase1, "query_id long, vec_id long, score long")
     score_rank = F.expr(f"row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     cutoffs = gathered.distinct().withColumn("r", score_rank).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("c"))
     # a query with fewer gathered than k has no cutoff: all of its candidates are completed
@@ -191,5 +191,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, groups: int = GRO
     named = listed.select("block", "qids").mapInArrow(unpack, "block long, query_id long").join(cutoffs, "query_id")
     by_block = named.groupBy("block").agg(F.collect_list(F.struct(F.col("query_id").alias("q"), "c")).alias("cuts"))
     ready = cut(listed.join(by_block, "block", "left").select("dim", "qids", "qdata", "cuts").mapInArrow(with_cutoffs, "dim int, qids binary, qdata binary, cutoff binary"), "cutoffs")
-    found = met(ready).select("qids", "qdata", "cutoff", "ids", "data").mapInArrow(phase23, "query_id long, vec_id long, score long")
+    found = in_batches(met(ready).select("qids", "qdata", "cutoff", "ids", "data"), phase23, "query_id long, vec_id long, score long")
     return found.distinct().withColumn("rank", score_rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
