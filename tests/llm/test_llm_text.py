@@ -151,6 +151,38 @@ def test_mix(spark):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
 
 
+def plain_copies(rows):
+    """copies of each (doc_id, h) by plain Python: whole passes, the first rows by hash that fit, and rows that fill."""
+    sources = sorted({r["source"] for r in rows}, key=lambda n: (n is None, n or ""))
+    sizes = [sum(r["size"] for r in rows if r["source"] == n) for n in sources]
+    out = {}
+    for n, size, t in zip(sources, sizes, mixing.targets(sizes)):
+        own = sorted((r for r in rows if r["source"] == n), key=lambda r: r["h"])
+        full = min(2, int(t // size)) if size else 0
+        left, taken = t - full * size, 0
+        if left > 0:
+            while taken < len(own) and own[taken]["size"] <= left:
+                left -= own[taken]["size"]
+                taken += 1
+        more = set(range(taken))
+        for _ in range(mixing.FILLS):
+            if full >= 2 or left <= 0.5:
+                break
+            gap, i = min(((abs(left - own[i]["size"]), i) for i in range(taken, len(own)) if i not in more), default=(left, -1))
+            if gap >= left:
+                break
+            more.add(i)
+            left -= own[i]["size"]
+        for i, r in enumerate(own):
+            out[r["doc_id"]] = full + (i in more)
+    return out
+
+
+def test_mix_against_plain_python(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == plain_copies(rows)
+
+
 def test_mix_odd_tables(spark):
     empty = docs(spark, ["x"]).limit(0)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
