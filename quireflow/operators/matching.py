@@ -9,6 +9,9 @@ from quireflow.constants import ALIGN_IOU, AP_THRESHOLDS, FIELD_IOU
 from quireflow.functions import geometry as G
 from quireflow.operators.grouped import Arrays, map_groups
 
+#: Ranges of confidence for running sums.
+BANDS = 4096
+
 
 def nearest_region(tokens: DataFrame, regions: DataFrame, key: str = "doc", token_pos: str = "pos", region_pos: str = "region_pos") -> DataFrame:
     """tokens(key, pos, bbox) with region_box: of the regions(key, region_pos, bbox) that overlap the token the one
@@ -104,18 +107,28 @@ def detections_matched(predicted: DataFrame, truth: DataFrame, thresholds: tuple
 
 
 def average_precision(flags: DataFrame, totals: DataFrame, by: list[str], order: list) -> DataFrame:
-    """(by.., ap, precision, recall, n): area under the precision envelope, from flags(by.., tp) in the order given
-    and totals(by.., total), the number of true boxes.
+    """(by.., ap, precision, recall, n): area under the precision envelope, from flags(by.., confidence, tp) and
+    totals(by.., total), the number of true boxes. `order` begins with descending confidence.
 
-    Precision at a point is the greatest one at or after it; the area sums it over the steps in recall. The running
-    sums go over each group's flags in order: one class and threshold at a time.
+    Precision at a point is the greatest one at or after it; the area sums it over the steps in recall. Running sums
+    over all predictions would be one task's sort, so confidences are cut into BANDS ranges: sums of whole bands come
+    from one row to a band, and windows run within bands.
     """
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    points = flags.withColumn("_tp", F.sum("tp").over(w)).withColumn("_n", n).withColumn("_p", F.col("_tp") / F.col("_n"))
-    after = Window.partitionBy(*by).orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    steps = points.withColumn("_env", F.max("_p").over(after)).groupBy(*by).agg(F.sum(F.col("tp") * F.col("_env")).alias("_area"), F.sum("tp").alias("_hits"), F.count("*").alias("n"))
-    out = steps.join(totals, by) if by else steps.crossJoin(totals)
+    level = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))))
+    seen = flags.withColumn("_band", (F.lit(BANDS - 1) - F.floor(level * (BANDS - 1))).cast("int"))
+    keys, whole = [*by, "_band"], Window.partitionBy(*by)
+    sums = seen.groupBy(*keys).agg(F.sum("tp").alias("_t"), F.count("*").alias("_c"))
+    ahead = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, F.coalesce(F.sum("_t").over(ahead), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_c").over(ahead), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    sofar = inside.rowsBetween(Window.unboundedPreceding, 0)
+    points = seen.join(starts, keys).withColumn("_n", F.row_number().over(inside)).withColumn("_p", (F.col("_t0") + F.sum("tp").over(sofar)) / (F.col("_n0") + F.col("_n")))
+    later = whole.orderBy(F.col("_band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(F.col("_n").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tops = points.groupBy(*keys).agg(F.max("_p").alias("_top")).select(*keys, F.max("_top").over(later).alias("_later"))
+    envelope = F.greatest(F.max("_p").over(after), F.coalesce("_later", F.lit(0.0)))
+    steps = points.join(tops, keys).withColumn("_env", envelope).groupBy(*by).agg(F.sum(F.col("tp") * F.col("_env")).alias("_area"), F.sum("tp").alias("_hits"), F.count("*").alias("n"))
+    out = steps.join(totals, by)
     ok = F.col("total") > 0
     return out.select(*by, F.when(ok, F.col("_area") / F.col("total")).otherwise(0.0).alias("ap"), F.when(ok, F.col("_hits") / F.col("n")).otherwise(0.0).alias("precision"), F.when(ok, F.col("_hits") / F.col("total")).otherwise(0.0).alias("recall"), "n")
 
