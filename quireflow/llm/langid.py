@@ -23,6 +23,8 @@ from quireflow.llm.common import cut, in_batches, release, runs
 
 #: Production parameters: longest n-gram, rows of each language to learn from and to calibrate on, absolute discount.
 ORDER, SAMPLE, CALIBRATION, DISCOUNT = 3, 1500, 300, 0.75
+#: Ranges of hashes by which training rows are chosen.
+BUCKETS = 4096
 #: A text is rejected whose cross-entropy (nats a character) is above the calibration's mean by so many deviations.
 DEVIATIONS = 10.0
 #: Languages that a model may hold: rows to each are looked up.
@@ -106,7 +108,7 @@ class Model:
         codes, edges, has = symbols(texts)
         total = np.zeros((len(texts), len(self.languages)))
         stops = np.append(edges[1:-1] - (ORDER - 1), edges[-1:]) if len(texts) else edges[:0]  # without the next text's pads
-        step = max(1 << 12, (1 << 21) // max(4, len(self.languages)))
+        step = max(1 << 12, (1 << 20) // max(4, len(self.languages)))
         for start in range(ORDER - 1, len(codes), step):
             at = np.arange(start, min(start + step, len(codes)))
             of = np.searchsorted(edges[:-1], at, side="right") - 1
@@ -209,11 +211,17 @@ def estimate(languages: list[str], lang: np.ndarray, n: np.ndarray, gram: np.nda
 
 
 def chosen(labelled: DataFrame, rows: int) -> DataFrame:
-    """At most `rows` rows of each language, those of least hash: found by ids alone, texts join the few that stay.
-    Languages' rows are first cut down within hash buckets, so no task meets a language's every row."""
-    ids = labelled.select("lang", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).where("doc_id is not null").distinct()
-    first = ids.withColumn("b", F.pmod(F.xxhash64("h"), F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "b").orderBy("h", "doc_id"))).where(F.col("r") <= rows)
-    return first.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= rows).select("lang", "doc_id", "r")
+    """(lang, doc_id, r): the `rows` ids of each language with the least hashes, ranked from 1; all if there are fewer.
+
+    Hashes are cut into BUCKETS ranges and counted with map-side combining. Only ids of the first ranges that hold
+    enough are ranked, so no task meets a frequent language's every id.
+    """
+    ids = labelled.select("lang", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    counts = ids.groupBy("lang", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    enough = counts.withColumn("sofar", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("sofar") < rows).select("lang", "b")
+    few = ids.join(enough, ["lang", "b"]).distinct()
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("b", "h", "doc_id"))).where(F.col("r") <= rows).select("lang", "doc_id", "r")
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
@@ -261,7 +269,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in runs(batch.column(1), 1 << 21):
+            for start, stop in runs(batch.column(1), 1 << 20):
                 names, score, rejected = shared.value.predict([t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -275,7 +283,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             column, out = pa.array([t if isinstance(t, str) else None for t in texts], pa.string()), []
-            for start, stop in runs(column, 1 << 21):
+            for start, stop in runs(column, 1 << 20):
                 names, score, rejected = shared.value.predict([t or "" for t in column.slice(start, stop - start).to_pylist()])
                 out.append(pd.DataFrame({"lang_pred": names, "score": score, "rejected": rejected}))
             yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
