@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from quireflow.llm import tokenfiles
 from quireflow.llm.common import in_batches, runs
 
-#: Entries of the broadcast table, longest pre-token in it (bytes), rows sampled for it; entries of a worker's cache.
+#: Entries of the broadcast table, longest pre-token in it (bytes), rows sampled for it in all; entries of a worker's cache.
 TABLE, LONGEST, SAMPLE, CACHE = 50_000, 32, 2_000, 300_000
 #: Production limit of tokens.
 LIMIT = 2048
@@ -116,24 +116,30 @@ _COUNTERS: dict[str, Counter_] = {}
 
 
 def frequent(docs: DataFrame, text: str, file: str, table: int, sample: int) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens in a bounded sample of rows. They only save time: any table gives
-    the same counts. A pre-token must be one chunk by itself, so that looking it up needs no splitting."""
+    """Token counts of the most frequent pre-tokens in a bounded sample: the first rows of each partition, `sample` of
+    all or one a partition. They only save time: any table gives the same counts. A pre-token must be one chunk by
+    itself, so that looking it up needs no splitting. Texts stay where they are; each partition gives its share of
+    pre-tokens at most."""
+    texts = docs.select(F.col(text).cast("string").alias("t"))
+    parts = max(1, texts.rdd.getNumPartitions())
+    rows, share = -(-sample // parts), max(20, 4 * table // parts)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counter = Counter(), Counter_(file, {})
+        own, left = Counter(), rows
         for batch in batches:
-            for start, stop in runs(batch.column(0), 1 << 21):
-                for t in batch.column(0).slice(start, stop - start).to_pylist():
-                    if t and latin(t):
-                        own.update(t.lower().split())
-                if len(own) > 4 * table:
-                    own = Counter(dict(own.most_common(2 * table)))
-        some = [(w, counter.of_word(w)) for w, _ in own.most_common(2 * table) if len(w.encode()) <= LONGEST and counter.split(w) == [w]][:table]
+            for t in batch.column(0).slice(0, left).to_pylist():
+                if t and latin(t):
+                    own.update(t.lower().split())
+            left -= min(left, batch.num_rows)
+            if not left:
+                break
+        counter = Counter_(file, {})
+        some = [(w, n, counter.of_word(w)) for w, n in own.most_common(share) if len(w.encode()) <= LONGEST and counter.split(w) == [w]]
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some]), pa.array([n for _, n in some], pa.int32())], ["w", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), (pa.string(), pa.int64(), pa.int32()))], ["w", "times", "n"])
 
-    rows = docs.select(F.col(text).cast("string").alias("t")).limit(sample).coalesce(1).mapInArrow(tally, "w string, n int")
-    return {r["w"]: r["n"] for r in rows.collect()}
+    found = in_batches(texts, tally, "w string, times long, n int").groupBy("w").agg(F.sum("times").alias("times"), F.first("n").alias("n"))
+    return {r["w"]: r["n"] for r in found.orderBy(F.col("times").desc(), "w").limit(table).collect()}
 
 
 def count_tokens(docs: DataFrame, text: str = "text", vocabulary: str = "word_bpe_49k.json", folder: str | None = None, limit: int = LIMIT, table: int = TABLE, sample: int = SAMPLE) -> DataFrame:
