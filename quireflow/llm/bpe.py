@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain, islice
 
 import numpy as np
@@ -26,28 +28,33 @@ CACHE, AT_ONCE = 100_000, 50_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
 
-#: k holds the word's number and, in its low 24 bits, the token's position within it. A step finds each word's pair of
-#: minimum rank, leftmost first, puts the merged token in its place and closes the gap.
-ENCODE = """
+#: Longer pre-tokens (bytes) don't go through the query, whose steps number as their merges; see Codec.merge().
+LONGEST = 2048
+#: Bits of a token's position within its word.
+PLACE = 40
+
+#: k holds the word's number and, in its low bits, the token's position within it. A step pairs each token with the
+#: next one, finds each word's pair of minimum rank, leftmost first, puts the merged token in its place and closes the
+#: gap.
+ENCODE = f"""
 WITH RECURSIVE tokens(k, id, step) AS (
     SELECT k, id, 0 FROM bytes
     UNION ALL
     (WITH best AS MATERIALIZED (
-        SELECT t.k >> 24 AS word, min((m.rank << 24) | (t.k & 16777215)) AS best
-        FROM tokens t JOIN tokens u ON u.k = t.k + 1 JOIN merges m ON m.pair = ((t.id << 32) | u.id)
-        GROUP BY 1
+        SELECT t.k >> {PLACE} AS word, min((m.rank << {PLACE}) | (t.k & {(1 << PLACE) - 1})) AS best
+        FROM (SELECT k, id, lead(k) OVER (ORDER BY k) AS next_k, lead(id) OVER (ORDER BY k) AS next_id FROM tokens) t
+        JOIN merges m ON m.pair = ((t.id << 32) | t.next_id)
+        WHERE t.next_k = t.k + 1 GROUP BY 1
     )
-    SELECT CASE WHEN (t.k & 16777215) > (b.best & 16777215) THEN t.k - 1 ELSE t.k END,
-           CASE WHEN (t.k & 16777215) = (b.best & 16777215) THEN b.best >> 24 ELSE t.id END, t.step + 1
-    FROM tokens t JOIN best b ON (t.k >> 24) = b.word
-    WHERE (t.k & 16777215) <> (b.best & 16777215) + 1)
+    SELECT CASE WHEN (t.k & {(1 << PLACE) - 1}) > (b.best & {(1 << PLACE) - 1}) THEN t.k - 1 ELSE t.k END,
+           CASE WHEN (t.k & {(1 << PLACE) - 1}) = (b.best & {(1 << PLACE) - 1}) THEN b.best >> {PLACE} ELSE t.id END, t.step + 1
+    FROM tokens t JOIN best b ON (t.k >> {PLACE}) = b.word
+    WHERE (t.k & {(1 << PLACE) - 1}) <> (b.best & {(1 << PLACE) - 1}) + 1)
 )
-SELECT k, id FROM tokens JOIN (SELECT k >> 24 AS word, max(step) AS last FROM tokens GROUP BY 1) ON (k >> 24) = word AND step = last
-"""
-DECODE = """
-SELECT word, list(id ORDER BY k) AS ids, list(plain ORDER BY k) AS plain
-FROM (SELECT k >> 24 AS word, k, id, plain FROM coded JOIN vocab USING (id)) GROUP BY word
+SELECT k, id FROM tokens JOIN (SELECT k >> {PLACE} AS word, max(step) AS last FROM tokens GROUP BY 1) ON (k >> {PLACE}) = word AND step = last
 """
+#: Tokens and their bytes in order: runs of one word are then joined.
+DECODE = f"SELECT k >> {PLACE} AS word, id, plain FROM coded JOIN vocab USING (id) ORDER BY k"
 
 #: White space other than the single spaces and line ends between words.
 ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
@@ -103,18 +110,55 @@ class Codec:
 
     def learn(self, words: list[str]) -> None:
         """Encodes and decodes pre-tokens."""
-        todo = iter(words)
+        raw = {w: w.encode() for w in words}
+        for w in [w for w, r in raw.items() if len(r) > LONGEST]:
+            ids = self.merge(raw.pop(w))
+            self.words.young[w] = " ".join(map(str, ids)), b"".join(map(self.plain.__getitem__, ids))
+        todo = iter(raw.items())
         while some := list(islice(todo, AT_ONCE)):
-            raw = [w.encode() for w in some]
-            length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-            data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+            length = np.fromiter((len(r) for _, r in some), dtype=np.int64, count=len(some))
+            data = np.frombuffer(b"".join(r for _, r in some), dtype=np.uint8)
             at = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
-            self._table("bytes", k=pa.array(np.repeat(np.arange(len(raw)), length) << 24 | at), id=pa.array(self.byte[data]))
+            self._table("bytes", k=pa.array(np.repeat(np.arange(len(some)), length) << PLACE | at), id=pa.array(self.byte[data]))
             self.db.execute(f"CREATE OR REPLACE TABLE coded AS {ENCODE}")
             found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
             word, ids, plain = (found.column(i).chunk(0) for i in range(3))
-            text = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, ids.flatten().cast(pa.string())), " ")
-            self.words.young.update(zip(map(some.__getitem__, word.to_pylist()), zip(text.to_pylist(), pc.binary_join(plain, b"").to_pylist())))
+            word = word.to_numpy()
+            first = np.concatenate(([True], word[1:] != word[:-1]))
+            offsets = pa.array(np.append(np.nonzero(first)[0], len(word)), pa.int32())
+            text = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.cast(pa.string())), " ")
+            whole = pc.binary_join(pa.ListArray.from_arrays(offsets, plain), b"")
+            self.words.young.update(zip((some[i][0] for i in word[first].tolist()), zip(text.to_pylist(), whole.to_pylist())))
+
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        """The merge table, for merge() only."""
+        return dict(self.db.sql("SELECT pair, rank FROM merges").fetchall())
+
+    @cached_property
+    def plain(self) -> dict[int, bytes]:
+        return dict(self.db.sql("SELECT id, plain FROM vocab").fetchall())
+
+    def merge(self, word: bytes) -> list[int]:
+        """The ids of one very long pre-token, by a heap of its pairs: the same contractions, each found in logarithmic
+        time."""
+        ids = [int(self.byte[b]) for b in word]
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        pair = lambda i: self.rank_of.get(ids[i] << 32 | ids[after[i]]) if after[i] < len(ids) else None
+        heap = [(r, i) for i in range(len(ids)) if (r := pair(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if ids[i] < 0 or pair(i) != rank:
+                continue  # one of the two has been merged meanwhile
+            j = after[i]
+            ids[i], ids[j], after[i] = rank, -1, after[j]
+            if after[i] < len(ids):
+                before[after[i]] = i
+            for at in (before[i], i):
+                if at >= 0 and (r := pair(at)) is not None:
+                    heapq.heappush(heap, (r, at))
+        return [x for x in ids if x >= 0]
 
     def pieces(self, texts: list[str]) -> pa.ListArray:
         """Each text as chunks: 0 and its start, then a line end or a space (left out) and what follows. Where single

@@ -44,6 +44,19 @@ def test_bpe_caches_turn_over():
     assert [coder.encode([t])[0][0].as_py() for t in texts] == first
 
 
+def test_very_long_words():
+    coder = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern())
+    library = tiktoken.Encoding("own", pat_str=tokenfiles.pattern(), mergeable_ranks=bpe.ranks_of(tokenfiles.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = random.Random(4)
+    words = ["a" * 5000, "".join(rng.choice("theaingsr") for _ in range(4000)), "é" * 3000, "x" * 200_000]
+    ids, plain = coder.encode(words)
+    assert plain.to_pylist() == [w.encode() for w in words]
+    for w, i in zip(words[:3], ids.to_pylist()):
+        assert i == " ".join(map(str, library.encode_ordinary(w)))
+    for w in [w[:300] for w in words]:
+        assert coder.merge(w.encode()) == list(map(int, coder.encode([w])[0][0].as_py().split()))
+
+
 def test_bpe_small_slices_and_other_vocabulary(spark):
     texts = ODD + own(spark, 20)
     ranks = bpe.ranks_of(tokenfiles.path("byte_bpe_multi_50k.tiktoken"))
