@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm.common import cut, words_of
 
@@ -26,7 +26,8 @@ WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 BLOCKS, LEVELS, SHARDS, SEED = 1024, 3, 16, 20240501
 #: Rows that may be added past a source's cut to fill what is left of its target.
 FILLS = 3
-#: Sources have given weights, so somebody lists them; more than this many are refused, none is dropped.
+#: Sources have given weights, so somebody lists them; more than this many are refused, none is dropped. A table of so
+#: many rows is broadcast.
 MAX_SOURCES = 20_000
 BITS = BLOCKS.bit_length() - 1
 
@@ -80,13 +81,15 @@ class Source:
     shards: list[int] = field(default_factory=list)
 
 
-def _by_source(sources: list[Source], value, kind: str) -> Column:
-    """A source's value as a column: a map of bounded size, as sources are."""
-    lit = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
-    pairs = [x for s in sources if s.name is not None for x in (F.lit(s.name), lit(value(s)))]
-    null = next((lit(value(s)) for s in sources if s.name is None), F.lit(None).cast(kind))
-    known = F.element_at(F.create_map(*pairs), F.col("source")) if pairs else F.lit(None).cast(kind)
-    return F.when(F.col("source").isNull(), null).otherwise(known)
+FACTS = "_source string, _size long, _target double, _full int, _left double, _cut long, _done boolean, _extra array<struct<id: bigint, h: bigint>>, _ends array<bigint>"
+
+
+def with_facts(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """rows with what is known of their sources. The table has a row to each source: it is broadcast within the bound
+    of MAX_SOURCES."""
+    facts = [(s.name, s.size, float(s.target), s.full, float(s.left), s.cut, s.done, list(s.extra), s.shards) for s in sources]
+    known = rows.sparkSession.createDataFrame(facts, FACTS)
+    return rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["_source"])).drop("_source")
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, passes=PASSES, shards=SHARDS, seed=SEED) -> list[Source]:
@@ -106,9 +109,9 @@ def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, passes=PASSES, shards=SH
         if not going:
             break
         shift = 63 - BITS * level
-        top = F.shiftright("h", shift + BITS) == _by_source(sources, lambda s: -1 if s.done else s.cut >> (shift + BITS), "long")
+        inside = with_facts(rows, going).where(F.shiftright("h", shift + BITS) == F.shiftright("_cut", shift + BITS))
         sizes = {}
-        for r in rows.where(top).groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("size")).collect():
+        for r in inside.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("size")).collect():
             sizes.setdefault(r["source"], []).append((r["bin"], int(r["size"])))
         for s in going:
             here = s.cut >> shift
@@ -126,12 +129,9 @@ def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, passes=PASSES, shards=SH
         going = [s for s in sources if s.full < passes and s.left > 0.5]
         if not going:
             break
-        left = _by_source(going, lambda s: float(s.left), "double")
-        gap = F.abs(left - F.col("size"))
-        past = (F.col("h") >= _by_source(going, lambda s: s.cut, "long")) & (gap < left)
-        if any(s.extra for s in going):
-            past = past & ~F.array_contains(_by_source(going, lambda s: F.array(*[F.lit(h) for _, h in s.extra]), "array<bigint>"), F.col("h"))
-        best = {r["source"]: r["x"] for r in rows.where(past).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "h", "doc_id", "size")).alias("x")).collect()}
+        gap = F.abs(F.col("_left") - F.col("size"))
+        past = with_facts(rows, going).where((F.col("h") >= F.col("_cut")) & (gap < F.col("_left")) & ~F.exists("_extra", lambda e: e["h"] == F.col("h")))
+        best = {r["source"]: r["x"] for r in past.groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "h", "doc_id", "size")).alias("x")).collect()}
         if not best:
             break
         for s in going:
@@ -156,17 +156,13 @@ def decided(rows: DataFrame, sources: list[Source], shards: int = SHARDS) -> Dat
     """rows with source_size, target, copies, taken and shards: the shard of each copy."""
     if not sources:
         return rows.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("shards"))
-    more = F.col("h") < _by_source(sources, lambda s: s.cut, "long")
-    if some := [s for s in sources if s.extra]:
-        added = _by_source(some, lambda s: F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(h).cast("long").alias("h")) for i, h in s.extra]), "array<struct<id:bigint,h:bigint>>")
-        more = more | F.coalesce(F.exists(added, lambda e: (e["h"] == F.col("h")) & e["id"].eqNullSafe(F.col("doc_id"))), F.lit(False))
-    out = rows.withColumn("source_size", _by_source(sources, lambda s: s.size, "long")).withColumn("target", _by_source(sources, lambda s: s.target, "double"))
-    out = out.withColumn("copies", _by_source(sources, lambda s: s.full, "int") + more.cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
-    ends = _by_source(sources, lambda s: F.array(*[F.lit(q) for q in s.shards]), "array<bigint>")
+    added = F.exists("_extra", lambda e: (e["h"] == F.col("h")) & e["id"].eqNullSafe(F.col("doc_id")))
+    out = with_facts(rows, sources).withColumnsRenamed({"_size": "source_size", "_target": "target"})
+    out = out.withColumn("copies", F.col("_full") + ((F.col("h") < F.col("_cut")) | added).cast("int")).withColumn("taken", F.col("copies") * F.col("size"))
     block = F.shiftright("h", 63 - BITS)
     # a row that fills a gap may lie past the last block of the quota: it goes to the last shard
     at = lambda p: F.least(F.size(F.filter("_ends", lambda e: e <= p * BLOCKS + block)), F.lit(shards - 1)).cast("int")
-    return out.withColumn("_ends", ends).withColumn("shards", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))).drop("_ends")
+    return out.withColumn("shards", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("copies") - 1, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))).drop("_full", "_left", "_cut", "_done", "_extra", "_ends")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
