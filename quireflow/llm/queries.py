@@ -54,6 +54,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(documents(spark, sf_dir))
 
 
+def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup of every repeated passage of more than 50 words; the tests hold it against plain Python."""
+    return linededup.report(documents(spark, sf_dir), passages=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
+    "op10_line_passages": op10_line_passages,
 }
 
 def _license_sql() -> str:

@@ -101,6 +101,53 @@ def test_lines_against_plain_python(spark, window):
     assert [got[i] for i in range(len(texts))] == plain_lines(texts, window)
 
 
+def plain_passages(texts, most=50):
+    """Lines of each text that lie in a run of more than `most` words which occurs before: by plain Python, every run."""
+    gone, at = [set() for _ in texts], defaultdict(list)
+    lines = [t.split("\n") for t in texts]
+    for i, own in enumerate(lines):
+        for a in range(len(own)):
+            at[own[a]].append((i, a))
+    for i, own in enumerate(lines):
+        for a in range(len(own)):
+            for j, b in at[own[a]]:
+                if (j, b) >= (i, a):
+                    break
+                n = 0
+                while a + n < len(own) and b + n < len(lines[j]) and own[a + n] == lines[j][b + n]:
+                    n += 1
+                if len("\n".join(own[a : a + n]).encode().split()) > most:
+                    gone[i] |= {x for x in range(a, a + n) if own[x].split()}
+    return gone
+
+
+def test_passages_go_to_their_last_line(spark):
+    rng = random.Random(18)
+    fresh = lambda n: [long_line(rng, rng.randint(3, 14)) for _ in range(n)]
+    passage = fresh(9)
+    texts = ["\n".join(fresh(a) + passage + fresh(a)) for a in (1, 2, 3, 5, 8)] + ["\n".join(fresh(3) + passage[:1] + fresh(3))]
+    got = [r["text"] for r in linededup.dedup_lines(docs(spark, texts), passages=True).orderBy("doc_id").collect()]
+    assert got[0] == texts[0] and all(not set(t.split("\n")) & set(passage) for t in got[1:5])
+    assert [len(t.split("\n")) for t in got[1:5]] == [4, 6, 10, 16] and got[5] == texts[5]
+
+
+def test_passages_against_plain_python(spark):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()
+    rng = random.Random(19)
+    pool = [long_line(rng, rng.choice([1, 5, 30, 70])) for _ in range(12)] + [""]
+    own = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    for texts in ([r["text"] for r in table], own):
+        lost = plain_passages(texts)
+        chunks = plain_lines(texts)
+        got = [r["text"] for r in linededup.dedup_lines(docs(spark, texts), passages=True).orderBy("doc_id").collect()]
+        for t, new, gone, old in zip(texts, got, lost, chunks):
+            left = [x for i, x in enumerate(t.split("\n")) if i not in gone]
+            # beside passages only chunks and blank lines inside of passages go
+            assert not Counter(filter(str.strip, new.split("\n"))) - Counter(left) and not Counter(filter(str.strip, new.split("\n"))) - Counter(old.split("\n"))
+        assert {x for t in texts for x in t.split("\n")} - {""} == {x for t in got for x in t.split("\n")} - {""}
+    assert [r["doc_id"] for r in queries.QUERIES["op10_line_passages"](spark, SMALL).where("lines_removed > 0").collect()]
+
+
 def test_line_dedup_odd_tables(spark):
     rng = random.Random(9)
     text = "\n".join(long_line(rng, 20) for _ in range(12))
