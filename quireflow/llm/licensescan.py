@@ -1,6 +1,6 @@
 """License scans by canonical digest lookup. DataFrame functions only.
 
-A text is brought to a canonical form: letters A-Z lowered, lines that open with a copyright mark dropped, equivalent
+A text is brought to a canonical form: letters A-Z lowered, copyright notices (lines) dropped, equivalent
 spellings replaced, punctuation and white space turned into single blanks. The SHA-256 of the entire canonical text is
 joined to the digests of known licenses, which are canonicalised alike. Known licenses come with this package
 (licenses/*.txt) or as a table of the caller's, and the licenses' titles may be there or not.
@@ -19,6 +19,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MARKS = " «»‐‑‒–—―‘’“”•…　"
 #: A line that opens with a copyright mark. (?m): lines; Java needs d too, for line ends to be \n alone.
 COPYRIGHT = r"^[ \t]*(?:copyright|\(c\)|\x{A9})[^\n]*$"
+#: Words that follow the mark where a line of wrapped prose begins with it.
+PROSE = r"and|are|assignment|disclaimer|doctrines|holder|holders|if|in|interest|interests|is|law|laws|license|licenses|like|must|notice|notices|of|on|or|owner|owners|ownership|patent|permission|protection|rights|statement|statements|the(?:[ \t]+(?:library|software)|[ \t\r]*$)|those|to|treaty|under|you"
+#: Of those lines, the notices: all but wrapped prose.
+NOTICE = r"^[ \t]*(?:(?:copyright|\(c\))(?!(?:ed|able|s)(?![a-z0-9])|[^a-z0-9<\[{\x{A9}\n]*(?:$|(?:" + PROSE + r")(?![a-z0-9])))|\x{A9})[^\n]*$"
 #: Runs of ASCII other than letters and digits.
 BLANKS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: Equivalent spellings, after the matching guidelines for software licenses: fixed values.
@@ -53,7 +57,7 @@ BROADCAST_ROWS = 10_000
 def canonical(text: Column) -> Column:
     """The canonical form of a text column: words with two blanks between, one at either end; null stays null."""
     t = F.translate(text.cast("string"), UPPER + MARKS, LOWER + " " * len(MARKS))
-    t = F.regexp_replace(t, "(?dm)" + COPYRIGHT, " ")
+    t = F.regexp_replace(t, "(?dm)" + NOTICE, " ")
     t = F.concat(F.lit(" "), F.trim(F.regexp_replace(t, BLANKS, "  ")), F.lit(" "))
     for a, b in SPELLINGS:
         t = F.replace(t, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b} "))
@@ -63,7 +67,7 @@ def canonical(text: Column) -> Column:
 def canonical_text(text: str) -> str:
     """The same for a Python string."""
     t = text.translate(str.maketrans(UPPER + MARKS, LOWER + " " * len(MARKS)))
-    t = re.sub(COPYRIGHT.replace(r"\x{A9}", "\xa9"), " ", t, flags=re.M)
+    t = re.sub(NOTICE.replace(r"\x{A9}", "\xa9"), " ", t, flags=re.M)
     t = f" {re.sub('[^a-z0-9\x80-\U0010ffff]+', '  ', t).strip(' ')} "
     for a, b in SPELLINGS:
         t = t.replace(f" {a.replace(' ', '  ')} ", f" {b} ")
@@ -83,8 +87,20 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
+def long_texts() -> list[tuple[str, str]]:
+    """(license, text) of the long licenses of this package; each whole, and without what follows its terms."""
+    out = []
+    for p in sorted((Path(__file__).parent / "licenses" / "long").glob("*.txt")):
+        text = p.read_text(encoding="utf-8")
+        out.append((p.stem, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(p.stem, terms), (p.stem, terms + end)]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known_texts()]
+    rows = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known_texts() + long_texts()]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 

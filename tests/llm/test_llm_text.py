@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,6 +34,36 @@ def test_licenses_are_found(spark):
     assert licensescan.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def rewrapped(text, width):
+    """A text whose paragraphs are wrapped anew; notices keep their lines."""
+    notice, out = re.compile(r"[ \t]*(copyright (\(c\) )?[<\[0-9]|©)", re.I), []
+    for paragraph in re.split(r"\n[ \t]*\n", text):
+        rest = []
+        for line in [*paragraph.split("\n"), None]:
+            if line is None or notice.match(line):
+                out += textwrap.wrap(" ".join(rest), width, break_long_words=False, break_on_hyphens=False) + ([line] if line else [])
+                rest = []
+            else:
+                rest.append(line)
+        out.append("")
+    return "\n".join(out)
+
+
+def test_licenses_wrapped_at_all_widths(spark):
+    known, texts = licensescan.known_texts() + licensescan.long_texts(), []
+    assert {n for n, _ in known} >= {"MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"}
+    for name, text in known:
+        form = licensescan.canonical_text(text)
+        # the GPL's appendix has a notice within a line, which is one by itself where a line begins with it: its terms only
+        wrapped = [text] if "<name of author>" in text and name.startswith("GPL") else [rewrapped(text, w) for w in range(10, 121)]
+        assert [t for t in wrapped if licensescan.canonical_text(t) != form] == [], name
+        texts += [(name, t) for t in wrapped[::20]]
+    isc = next(t for n, t in known if n == "ISC").replace("that the above copyright", "that the above\ncopyright")
+    texts += [("ISC", isc), ("ISC", isc.replace("Copyright (c) <year> <copyright holders>", "Copyright The Authors of Something"))]
+    got = {r["doc_id"]: r["license"] for r in licensescan.scan(docs(spark, [t for _, t in texts])).collect()}
+    assert [got[i] for i in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_license_forms_agree(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("aLé (c)©.,\n\tlicence sub-license whilst “x” per cent ") for _ in range(80)) for _ in range(60)]
