@@ -83,6 +83,47 @@ def token_distance(predicted: Column, truth: Column) -> Column:
     return F.levenshtein(word(predicted), word(truth))
 
 
+def edit_distance(a, b, block: int = 1 << 13) -> int:
+    """Edit distance of two sequences, exact at any length (Myers 1999, Hyyro 2003: a row of bits a step). Blocks of a are
+    worked on one after the other, so memory follows len(b) and one block's masks, not the product."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    carry = [1] * len(b)  # horizontal differences along a block's upper edge; the first row counts up
+    for start in range(0, len(a), block):
+        part = a[start : start + block]
+        full, top = (1 << len(part)) - 1, len(part) - 1
+        where: dict = {}
+        for i, x in enumerate(part):
+            where[x] = where.get(x, 0) | 1 << i
+        up, down = full, 0
+        for j, x in enumerate(b):
+            h, eq = carry[j], where.get(x, 0)
+            xv = eq | down
+            eq |= h < 0
+            xh = (((eq & up) + up) ^ up) | eq
+            ph, mh = down | (full & ~(xh | up)), up & xh
+            carry[j] = (ph >> top & 1) - (mh >> top & 1)
+            ph, mh = (ph << 1 | (h > 0)) & full, (mh << 1 | (h < 0)) & full
+            up, down = mh | (full & ~(xv | ph)), ph & xv
+    return len(a) + sum(carry)
+
+
+def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+def long_distance(predicted: Column, truth: Column) -> Column:
+    """Edit distance of long texts, by characters, in workers; null if either is null."""
+    return F.pandas_udf(_distances, "int")(predicted, truth)
+
+
+def long_token_distance(predicted: Column, truth: Column) -> Column:
+    """Edit distance of long token arrays, in workers: of any number of distinct tokens."""
+    return F.pandas_udf(lambda a, b: _distances(a.map(lambda x: x if x is None else list(x)), b.map(lambda x: x if x is None else list(x))), "int")(predicted, truth)
+
+
 def wer(predicted: Column, truth: Column) -> Column:
     """Token error rate of two token arrays, with the same convention for an empty truth."""
     return _rate(token_distance(predicted, truth), F.size(truth), F.size(predicted))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quireflow.functions import text
 
+#: Characters of a concatenated side beyond which workers compare it.
+LONG = 20_000
+
 
 def zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
@@ -22,26 +25,31 @@ def document_text(tokens: DataFrame, key: list[str], order: str, word: str = "te
     return tokens.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["w"]), " ").alias("text"))
 
 
-def error_rates(pairs: DataFrame, predicted: str = "predicted", truth: str = "truth", unicode: bool = True) -> DataFrame:
-    """pairs with distances, lengths, cer and wer of the normal forms."""
+def error_rates(pairs: DataFrame, predicted: str = "predicted", truth: str = "truth", unicode: bool = True, long: Column | None = None) -> DataFrame:
+    """pairs with distances, lengths, cer and wer of the normal forms. Rows for which long holds are compared in workers."""
     p, t = text.normalize(F.col(predicted), unicode=unicode), text.normalize(F.col(truth), unicode=unicode)
     seen = pairs.withColumn("_p", p).withColumn("_t", t)
     seen = seen.withColumn("_pt", F.regexp_extract_all("_p", F.lit(text.TOKEN), 1)).withColumn("_tt", F.regexp_extract_all("_t", F.lit(text.TOKEN), 1))
-    out = seen.withColumn("char_distance", F.levenshtein("_p", "_t")).withColumn("char_length", F.length("_t")).withColumn("token_distance", text.token_distance(F.col("_pt"), F.col("_tt"))).withColumn("token_length", F.size("_tt"))
+    chars, tokens = F.levenshtein("_p", "_t"), text.token_distance(F.col("_pt"), F.col("_tt"))
+    if long is not None:  # nulls cost the workers nothing
+        far = lambda f, *c: f(*[F.when(long, F.col(x)) for x in c])
+        chars, tokens = F.when(long, far(text.long_distance, "_p", "_t")).otherwise(chars), F.when(long, far(text.long_token_distance, "_pt", "_tt")).otherwise(tokens)
+    out = seen.withColumn("char_distance", chars).withColumn("char_length", F.length("_t")).withColumn("token_distance", tokens).withColumn("token_length", F.size("_tt"))
     rate = lambda d, n, p: F.when(F.col(n) > 0, F.col(d) / F.col(n)).otherwise(F.when(p > 0, 1.0).otherwise(0.0))
     return out.withColumn("cer", rate("char_distance", "char_length", F.length("_p"))).withColumn("wer", rate("token_distance", "token_length", F.size("_pt"))).drop("_p", "_t", "_pt", "_tt")
 
 
-def global_error_rates(pairs: DataFrame, order: str, predicted: str = "predicted", truth: str = "truth", by: list[str] | None = None, most: int = 100_000, unicode: bool = True) -> DataFrame:
-    """Error rates of the concatenated texts, of all or by group. One edit distance over a whole corpus takes time and
-    memory with the square of its length, so a longer side than `most` characters gives null; micro_error_rates() is
-    the measure for corpora."""
+def global_error_rates(pairs: DataFrame, order: str, predicted: str = "predicted", truth: str = "truth", by: list[str] | None = None, most: int | None = None, unicode: bool = True, long: int = LONG) -> DataFrame:
+    """Error rates of the concatenated texts, of all or by group; exact at any length. Groups with a side of more than
+    `long` characters are compared in workers, bit-parallel and in blocks (text.long_distance()). That still takes time with
+    the square of the length, so callers may ask for null beyond `most` characters; micro_error_rates() is the measure for
+    corpora."""
     both = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(predicted, F.lit("")).alias("p"), F.coalesce(truth, F.lit("")).alias("t"))))
     side = lambda n: F.array_join(F.transform("_all", lambda x: x[n]), " ")
-    joined = pairs.groupBy(*(by or [])).agg(both.alias("_all"), F.sum(F.length(predicted)).alias("_np"), F.sum(F.length(truth)).alias("_nt"))
-    fits = F.greatest("_np", "_nt") <= most
+    joined = pairs.groupBy(*(by or [])).agg(both.alias("_all"), F.coalesce(F.greatest(F.sum(F.length(predicted)), F.sum(F.length(truth))), F.lit(0)).alias("_n"))
+    fits = F.lit(True) if most is None else F.col("_n") <= most
     cut_ = joined.withColumn("predicted", F.when(fits, side("p"))).withColumn("truth", F.when(fits, side("t")))
-    rates = error_rates(cut_, unicode=unicode)
+    rates = error_rates(cut_, unicode=unicode, long=F.col("_n") > long)
     return rates.select(*(by or []), F.when(fits, F.col("cer")).alias("cer"), F.when(fits, F.col("wer")).alias("wer"))
 
 

@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 from pyspark.sql import functions as F
+from test_text import distance
 
-from quireflow.functions import geometry as G
+from quireflow.functions import geometry as G, text
 from quireflow.operators import augment, crops, generate, kie, matching, metrics, ordering, pages, pairing
 from quireflow.sources import annotations as A, sinks
 from quireflow.streaming import annotations as S
@@ -249,6 +250,32 @@ def test_concatenated_rates_have_a_bound(spark):
     assert metrics.global_error_rates(p, "o", most=2).first()["cer"] is None
 
 
+def test_edit_distance_in_blocks():
+    rng = random.Random(31)
+    for block in (1, 3, 8, 1 << 13):
+        for _ in range(60):
+            a, b = ("".join(rng.choices("abé", k=rng.randint(0, 30))) for _ in range(2))
+            assert text.edit_distance(a, b, block) == text.edit_distance(list(b), list(a), block) == distance(a, b)
+
+
+def test_concatenated_rates_of_long_groups(spark):
+    rng = random.Random(32)
+    rows = [(g, i, " ".join(rng.choices("abcd", k=k)), " ".join(rng.choices("abcd", k=k))) for g in range(4) for i, k in enumerate((0, 9, 20))]
+    p = spark.createDataFrame(rows, "g int, o int, predicted string, truth string")
+    got = lambda **how: sorted(tuple(r) for r in metrics.global_error_rates(p, "o", by=["g"], **how).collect())
+    assert got(long=0) == got() and all(c > 0 and w > 0 for _, c, w in got())
+    # beyond the former bound of 100 000 characters, from which results were null
+    base = "".join(rng.choices("abcdefgh ", k=1000)).strip()
+    big = spark.createDataFrame([(i, base + "x", base) for i in range(110)], "o int, predicted string, truth string")
+    r, n = metrics.global_error_rates(big, "o").first(), len(text_squeezed(" ".join([base] * 110)))
+    assert r["cer"] == 110 / n and r["wer"] is not None and 0 < r["wer"] < 1
+    assert metrics.global_error_rates(big, "o", most=100_000).first()["cer"] is None
+
+
+def text_squeezed(t):
+    return " ".join(t.split())
+
+
 def test_stream(spark, tmp_path):
     path = write(tmp_path, {"a": annotation(["w"]), "b": annotation(["x", "y"])})
     q = S.run_each(S.stream_annotations(spark, path), A.tokens, str(tmp_path / "out"), str(tmp_path / "ck"))
