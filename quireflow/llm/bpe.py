@@ -1,19 +1,22 @@
-"""Byte-level BPE encoding and decoding with DuckDB's recursive queries.
+"""Byte-level BPE encoding and decoding with DuckDB's recursive queries and ordered aggregation.
 
 Each partition splits its texts into pre-tokens and encodes those that its worker hasn't met: a recursive query holds
-one row per token position, joins neighbours with the merge table and contracts, in each step, the leftmost pair of
-minimum rank of every word, until no pair is left. An ordered aggregation decodes the words' tokens. Texts are put
-together from their words' ids and bytes, so memory is bounded by a batch and a bounded cache.
+one row per token position, joins neighbours with the merge table and contracts, in each step, every word's leftmost
+pair of minimum rank, until no pair is left. Words that have no pair left drop out; the state is keyed by position, so
+it never outgrows the words' bytes. Documents are decoded from their own ids: a join with the vocabulary and an
+aggregation ordered by position.
+
+Words of more than SHORT bytes take another step of the same kind: it contracts all disjoint occurrences of the word's
+minimum-rank pair, from the left, where that is what one at a time would give. That is so unless a pair with the new
+token ranks below it, which the merge table tells; then only the leftmost goes. Steps then follow the number of
+different ranks in a word and not its length, so a pre-token may be of any length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
-from functools import cached_property
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,43 +24,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import tokenfiles
-from quireflow.llm.common import in_batches, runs
+from quireflow.llm.common import held, in_batches, runs
 
-#: Entries in each generation of a worker's caches, and words that one recursive query takes.
-CACHE, AT_ONCE = 100_000, 50_000
-
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
-
-#: Longer pre-tokens (bytes) don't go through the query, whose steps number as their merges; see Codec.merge().
-LONGEST = 2048
+#: Entries in each generation of a worker's cache, bytes of words that one recursive query takes (a longer word is
+#: alone), DuckDB's memory.
+CACHE, AT_ONCE, MEMORY = 120_000, 1 << 17, "150MB"
+#: Longest pre-token (bytes) of which each step contracts one pair.
+SHORT = 64
 #: Bits of a token's position within its word.
 PLACE = 40
+HERE = (1 << PLACE) - 1
 
-#: k holds the word's number and, in its low bits, the token's position within it. A step pairs each token with the
-#: next one, finds each word's pair of minimum rank, leftmost first, puts the merged token in its place and closes the
-#: gap.
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_ok boolean"
+
+#: k holds the word's number and, in its low bits, the token's position within it; id and next are the token and its
+#: right neighbour (-1: none). A step finds each word's pair of minimum rank, leftmost first, drops its first token,
+#: makes the second one the merged token and closes the gap. Positions past a word's end keep an older step.
 ENCODE = f"""
-WITH RECURSIVE tokens(k, id, step) AS (
-    SELECT k, id, 0 FROM bytes
+WITH RECURSIVE tokens(k, id, next, step) USING KEY (k) AS (
+    SELECT k, id, next, 0 FROM bytes
     UNION ALL
-    (WITH best AS MATERIALIZED (
-        SELECT t.k >> {PLACE} AS word, min((m.rank << {PLACE}) | (t.k & {(1 << PLACE) - 1})) AS best
-        FROM (SELECT k, id, lead(k) OVER (ORDER BY k) AS next_k, lead(id) OVER (ORDER BY k) AS next_id FROM tokens) t
-        JOIN merges m ON m.pair = ((t.id << 32) | t.next_id)
-        WHERE t.next_k = t.k + 1 GROUP BY 1
-    )
-    SELECT CASE WHEN (t.k & {(1 << PLACE) - 1}) > (b.best & {(1 << PLACE) - 1}) THEN t.k - 1 ELSE t.k END,
-           CASE WHEN (t.k & {(1 << PLACE) - 1}) = (b.best & {(1 << PLACE) - 1}) THEN b.best >> {PLACE} ELSE t.id END, t.step + 1
-    FROM tokens t JOIN best b ON (t.k >> {PLACE}) = b.word
-    WHERE (t.k & {(1 << PLACE) - 1}) <> (b.best & {(1 << PLACE) - 1}) + 1)
+    (WITH best AS (
+        SELECT t.k >> {PLACE} AS word, min((m.rank << {PLACE}) | (t.k & {HERE})) AS best
+        FROM tokens t JOIN merges m ON m.pair = ((t.id << 32) | t.next) GROUP BY 1
+    ), pick AS MATERIALIZED (SELECT word, (word << {PLACE}) | (best & {HERE}) AS place, best >> {PLACE} AS rank FROM best)
+    SELECT CASE WHEN t.k > p.place THEN t.k - 1 ELSE t.k END, CASE WHEN t.k = p.place + 1 THEN p.rank ELSE t.id END,
+           CASE WHEN t.k = p.place - 1 THEN p.rank ELSE t.next END, t.step + 1
+    FROM tokens t JOIN pick p ON p.word = (t.k >> {PLACE}) WHERE t.k <> p.place)
 )
 SELECT k, id FROM tokens JOIN (SELECT k >> {PLACE} AS word, max(step) AS last FROM tokens GROUP BY 1) ON (k >> {PLACE}) = word AND step = last
+ORDER BY k
 """
-#: Tokens and their bytes in order: runs of one word are then joined.
-DECODE = f"SELECT k >> {PLACE} AS word, id, plain FROM coded JOIN vocab USING (id) ORDER BY k"
+#: The step for long words: of a run of places where the minimum rank fits, every second pair from the left goes. Merged
+#: away tokens stay as -1, so places don't move.
+ENCODE_LONG = f"""
+WITH RECURSIVE tokens(k, id) USING KEY (k) AS (
+    SELECT k, id FROM bytes
+    UNION ALL
+    (WITH pairs AS (
+        SELECT k, id, lead(k) OVER w AS next_k, lead(id) OVER w AS next FROM tokens WHERE id >= 0 WINDOW w AS (ORDER BY k)
+    ), ranked AS MATERIALIZED (
+        SELECT p.k, p.id, m.rank, m.alone
+        FROM pairs p LEFT JOIN merges m ON m.pair = CASE WHEN p.next_k >> {PLACE} = p.k >> {PLACE} THEN (p.id << 32) | p.next ELSE -1 END
+    ), best AS (
+        SELECT k >> {PLACE} AS word, min((rank << {PLACE}) | (k & {HERE})) AS best FROM ranked WHERE rank IS NOT NULL GROUP BY 1
+    ), fits AS (
+        SELECT r.*, b.best, coalesce(r.rank = b.best >> {PLACE}, false) AS fits, row_number() OVER (ORDER BY k) AS nth
+        FROM ranked r JOIN best b ON r.k >> {PLACE} = b.word
+    ), placed AS (
+        SELECT *, coalesce(max(CASE WHEN NOT fits THEN nth END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+        FROM fits
+    ), gone AS (
+        SELECT *, fits AND CASE WHEN alone THEN k & {HERE} = best & {HERE} ELSE (nth - before) % 2 = 1 END AS merged FROM placed
+    )
+    SELECT k, CASE WHEN lag(merged, 1, false) OVER (ORDER BY k) THEN -1 WHEN merged THEN rank ELSE id END FROM gone)
+)
+SELECT k, id FROM tokens WHERE id >= 0 ORDER BY k
+"""
+#: The bytes of each document's tokens, in order.
+DECODE = "SELECT doc, list(plain ORDER BY place) AS plain FROM coded JOIN vocab USING (id) GROUP BY doc ORDER BY doc"
 
 #: White space other than the single spaces and line ends between words.
-ODD_SPACE = ("  ", "\n\n", " \n", "\n ", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+ODD_SPACE = (
+    "  ", "\n\n", " \n", "\n ", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0     　",
+    *map(chr, range(0x2000, 0x200B)),
+)
 
 
 def ranks_of(file: str) -> dict[bytes, int]:
@@ -71,10 +102,13 @@ class Cache:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def missing(self, keys: Iterable[str]) -> list[str]:
-        """Keys that are in neither generation; the others are in the younger one from now on."""
+    def turn(self) -> None:
+        """Lets the elder generation go if the younger one is full."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Keys that are in neither generation; the others are in the younger one from now on."""
         young, old = self.young, self.old
         out = []
         for k in {k for k in keys if k not in young}:
@@ -86,7 +120,8 @@ class Cache:
 
 
 class Codec:
-    """Encodes words by the recursive query, one DuckDB connection to a worker."""
+    """Encodes words by the recursive query and decodes ids by the ordered aggregation: a DuckDB connection to a worker.
+    Caches hold ids as packed 32-bit integers."""
 
     def __init__(self, file: str, pattern: str):
         import duckdb
@@ -94,14 +129,18 @@ class Codec:
 
         ranks = ranks_of(file)
         self.split = regex.compile(pattern).findall
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         self.byte = np.array([ranks[bytes([b])] for b in range(256)])
-        merges = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        pair, rank = (pa.array(x, pa.int64()) for x in zip(*merges))
-        self._table("merges", pair=pair, rank=rank)
-        self._table("vocab", id=pa.array(list(ranks.values()), pa.int64()), plain=pa.array(list(ranks), pa.binary()))
-        #: Pre-tokens and chunks of them: ids as text, and the bytes that the ids decode to.
-        self.words, self.chunks = Cache(CACHE), Cache(CACHE)
+        pair, rank = _merges(ranks)
+        left, right = pair >> 32, pair & 0xFFFFFFFF
+        # tokens that are part of a token of lower rank
+        part = np.unique(np.concatenate([left[rank < left], right[rank < right]]))
+        self._table("merges", pair=pa.array(pair), rank=pa.array(rank), alone=pa.array(np.isin(rank, part)))
+        self._table("vocab", id=pa.array(list(ranks.values()), pa.int32()), plain=pa.array(list(ranks), pa.binary()))
+        #: Each id in decimal, and a space.
+        self.decimal = pa.array([f"{i} " for i in range(max(ranks.values()) + 1)], pa.binary())
+        self.known_id = np.isin(np.arange(len(self.decimal)), list(ranks.values()))
+        self.known = Cache(CACHE)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.db.register("source", pa.table(columns))
@@ -109,56 +148,31 @@ class Codec:
         self.db.unregister("source")
 
     def learn(self, words: list[str]) -> None:
-        """Encodes and decodes pre-tokens."""
-        raw = {w: w.encode() for w in words}
-        for w in [w for w, r in raw.items() if len(r) > LONGEST]:
-            ids = self.merge(raw.pop(w))
-            self.words.young[w] = " ".join(map(str, ids)), b"".join(map(self.plain.__getitem__, ids))
-        todo = iter(raw.items())
-        while some := list(islice(todo, AT_ONCE)):
-            length = np.fromiter((len(r) for _, r in some), dtype=np.int64, count=len(some))
-            data = np.frombuffer(b"".join(r for _, r in some), dtype=np.uint8)
-            at = np.arange(len(data)) - np.repeat(np.cumsum(length) - length, length)
-            self._table("bytes", k=pa.array(np.repeat(np.arange(len(some)), length) << PLACE | at), id=pa.array(self.byte[data]))
-            self.db.execute(f"CREATE OR REPLACE TABLE coded AS {ENCODE}")
-            found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
-            word, ids, plain = (found.column(i).chunk(0) for i in range(3))
-            word = word.to_numpy()
-            first = np.concatenate(([True], word[1:] != word[:-1]))
-            offsets = pa.array(np.append(np.nonzero(first)[0], len(word)), pa.int32())
-            text = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.cast(pa.string())), " ")
-            whole = pc.binary_join(pa.ListArray.from_arrays(offsets, plain), b"")
-            self.words.young.update(zip((some[i][0] for i in word[first].tolist()), zip(text.to_pylist(), whole.to_pylist())))
-
-    @cached_property
-    def rank_of(self) -> dict[int, int]:
-        """The merge table, for merge() only."""
-        return dict(self.db.sql("SELECT pair, rank FROM merges").fetchall())
-
-    @cached_property
-    def plain(self) -> dict[int, bytes]:
-        return dict(self.db.sql("SELECT id, plain FROM vocab").fetchall())
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one very long pre-token, by a heap of its pairs: the same contractions, each found in logarithmic
-        time."""
-        ids = [int(self.byte[b]) for b in word]
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        pair = lambda i: self.rank_of.get(ids[i] << 32 | ids[after[i]]) if after[i] < len(ids) else None
-        heap = [(r, i) for i in range(len(ids)) if (r := pair(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if ids[i] < 0 or pair(i) != rank:
-                continue  # one of the two has been merged meanwhile
-            j = after[i]
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for at in (before[i], i):
-                if at >= 0 and (r := pair(at)) is not None:
-                    heapq.heappush(heap, (r, at))
-        return [x for x in ids if x >= 0]
+        """Encodes pre-tokens."""
+        raw = [w.encode() for w in words]
+        for query, some in ((ENCODE, [i for i, r in enumerate(raw) if len(r) <= SHORT]), (ENCODE_LONG, [i for i, r in enumerate(raw) if len(r) > SHORT])):
+            start = 0
+            while start < len(some):
+                stop, size = start, 0
+                while stop < len(some) and (stop == start or size + len(raw[some[stop]]) <= AT_ONCE):
+                    size += len(raw[some[stop]])
+                    stop += 1
+                word, ids = self.merge([raw[i] for i in some[start:stop]], query)
+                packed, at = ids.astype(np.int32).tobytes(), (4 * np.searchsorted(word, np.arange(stop - start + 1))).tolist()
+                self.known.young.update((words[i], packed[a:b]) for i, a, b in zip(some[start:stop], at, at[1:]))
+                start = stop
+
+    def merge(self, raw: list[bytes], query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words and their ids, in order, by the recursive query."""
+        length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        ids, ends = self.byte[np.frombuffer(b"".join(raw), dtype=np.uint8)], np.cumsum(length)
+        k = np.repeat(np.arange(len(raw)), length) << PLACE | np.arange(len(ids)) - np.repeat(ends - length, length)
+        after = np.append(ids[1:], -1)
+        after[ends - 1] = -1
+        self._table("bytes", k=pa.array(k), id=pa.array(ids), next=pa.array(after))
+        found = self.db.sql(query).to_arrow_table()
+        self.db.execute("DROP TABLE bytes")
+        return found.column("k").to_numpy() >> PLACE, found.column("id").to_numpy()
 
     def pieces(self, texts: list[str]) -> pa.ListArray:
         """Each text as chunks: 0 and its start, then a line end or a space (left out) and what follows. Where single
@@ -176,54 +190,128 @@ class Codec:
             parts = parts.take(pa.array(np.argsort(np.array([*plain, *odd]))))
         return parts
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """For each text: ids joined by a space, and the bytes they decode to."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids start (and the last one's end)."""
         parts = self.pieces(texts)
         coded = parts.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        new = self.chunks.missing(chunks)
-        inside = [self.split(c if c[0] == "\n" else c[1:] if c[0] == "\0" else f" {c}") for c in new]
-        self.learn(self.words.missing(chain.from_iterable(inside)))
-        word, chunk = self.words.young, self.chunks.young
-        for c, words in zip(new, inside):
-            if len(words) == 1:
-                chunk[c] = word[words[0]]
+        chunks = [c[1:] if c[:1] == "\0" else c if c[:1] == "\n" else f" {c}" for c in coded.dictionary.to_numpy(zero_copy_only=False)]
+        known, words, mixed = self.known, [], {}
+        known.turn()
+        for c in known.missing(chunks):
+            if (c[1:] if c[:1] == " " else c).isalpha() and c.isascii():  # one pre-token by itself
+                words.append(c)
             else:
-                ids, plain = zip(*[word[w] for w in words])
-                chunk[c] = " ".join(ids), b"".join(plain)
-        ids, plain = zip(*[chunk[c] for c in chunks]) if chunks else ((), ())
-        whole = [pa.ListArray.from_arrays(parts.offsets, pa.array(x, kind).take(coded.indices)) for x, kind in ((ids, pa.string()), (plain, pa.binary()))]
-        return pc.binary_join(whole[0], " "), pc.binary_join(whole[1], b"")
+                mixed[c] = self.split(c)
+        words += known.missing(w for some in mixed.values() for w in some if w not in mixed or len(some) == 1)
+        self.learn(words)
+        young = known.young
+        for c, some in mixed.items():
+            if len(some) != 1:
+                young[c] = b"".join([young[w] for w in some])
+        packed = pa.array([young[c] for c in chunks], pa.binary()).take(coded.indices)
+        if not len(packed):
+            return np.zeros(0, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int32)
+        at = np.frombuffer(packed.buffers()[1], dtype=np.int32)[: len(packed) + 1]
+        ids = np.frombuffer(packed.buffers()[2] or b"", dtype=np.int32)[: at[-1] // 4]
+        return ids, at[parts.offsets.to_numpy() - parts.offsets[0].as_py()] // 4
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[memoryview]:
+        """The bytes of each text's ids."""
+        size = np.diff(starts)
+        self.db.register("coded", pa.table({"doc": np.repeat(np.arange(len(size)), size), "place": np.arange(len(ids)), "id": ids}))
+        found = self.db.sql(DECODE).to_arrow_table().combine_chunks()
+        self.db.unregister("coded")
+        out: list[memoryview] = [memoryview(b"")] * len(size)
+        for part in found.to_batches():
+            lists = part.column("plain")
+            plain = lists.flatten()
+            at = np.frombuffer(plain.buffers()[1], dtype=np.int32 if plain.type == pa.binary() else np.int64)[plain.offset : plain.offset + len(plain) + 1]
+            data, edges = memoryview(plain.buffers()[2] or b"").cast("B"), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for doc, a, b in zip(part.column("doc").to_pylist(), at[edges[:-1]].tolist(), at[edges[1:]].tolist()):
+                out[doc] = data[a:b]
+        return out
+
+    def decimal_of(self, ids: np.ndarray, starts: np.ndarray) -> list[memoryview]:
+        """Each text's ids in decimal, joined by a space."""
+        shown = self.decimal.take(pa.array(ids))
+        if not len(shown):
+            return [memoryview(b"")] * (len(starts) - 1)
+        at, data = np.frombuffer(shown.buffers()[1], dtype=np.int32)[: len(ids) + 1], memoryview(shown.buffers()[2]).cast("B")
+        return [data[a : max(a, b - 1)] for a, b in zip(at[starts[:-1]].tolist(), at[starts[1:]].tolist())]
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+def _merges(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of tokens (ids packed into one integer) that make a token, and its rank."""
+    pairs = np.fromiter(
+        (x for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None for x in (a << 32 | b, r)),
+        dtype=np.int64,
+    )
+    return pairs[::2].copy(), pairs[1::2].copy()
 
 
 def codec(file: str, pattern: str) -> Codec:
     """One codec to a Python worker: what it has learnt serves the tasks to come."""
-    if (file, pattern) not in _CODECS:
-        _CODECS[file, pattern] = Codec(file, pattern)
-    return _CODECS[file, pattern]
+    return held(("bpe", file, pattern), lambda: Codec(file, pattern))
 
 
-def encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None, ids: bool = False, at_once: int = 1 << 21) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    text: str = "text",
+    vocabulary: str = "byte_bpe_50k.tiktoken",
+    folder: str | None = None,
+    ids: bool = False,
+    at_once: int = 1 << 21,
+) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the bytes
-    that the ids decode to), decoded_ok (these are the text's bytes); with ids also ids_text, the ids themselves.
+    that the row's ids decode to), decoded_ok (these are the text's bytes); with ids also ids_text, the ids themselves.
 
     A null text counts as empty: no tokens. doc_id may be null or repeat, each row gives a row. Equal texts give
     equal values. Other columns are not read. at_once: bytes of text that are put together at a time.
     """
     file, pattern = tokenfiles.path(vocabulary, folder), tokenfiles.pattern()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_ok", "ids_text"][: 5 + ids]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(file, pattern)
+        for batch in batches:
+            for start, stop in runs(batch.column(1), at_once):
+                texts = [t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()]
+                coded, starts = coder.encode(texts)
+                shown, plain = coder.decimal_of(coded, starts), coder.decode(coded, starts)
+                columns = [
+                    pa.array(np.diff(starts), pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in plain], pa.string()),
+                    pa.array([x == t.encode() for x, t in zip(plain, texts)], pa.bool_()),
+                ]
+                if ids:
+                    columns.append(pa.array([str(x, "ascii") for x in shown], pa.string()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns], names)
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    return in_batches(chosen, run, SCHEMA + ", ids_text string" * ids, "bpe")
+
+
+def decode(
+    coded: DataFrame, ids: str = "ids_text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None, at_once: int = 1 << 21
+) -> DataFrame:
+    """(doc_id, decoded) per row of coded(doc_id, ids): the bytes that its decimal ids, joined by a space, stand for.
+    Null ids decode to null, no ids to no bytes; an id that the vocabulary lacks fails the job. doc_id may be null or
+    repeat; no rows give no rows."""
+    file, pattern = tokenfiles.path(vocabulary, folder), tokenfiles.pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(file, pattern)
         for batch in batches:
             for start, stop in runs(batch.column(1), at_once):
-                some = [t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()]
-                raw, (coded, plain) = [t.encode() for t in some], coder.encode(some)
-                sha = [hashlib.sha256(x).hexdigest() for x in coded.cast(pa.binary()).to_pylist()]
-                back = plain.to_pylist()
-                columns = [pc.add(pc.count_substring(coded, " "), pc.cast(pc.not_equal(coded, ""), pa.int32())).cast(pa.int64()), pa.array(sha), pa.array([hashlib.sha256(x).hexdigest() for x in back]), pa.array([x == y for x, y in zip(raw, back)]), coded]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), *columns[: 4 + ids]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_ok", "ids_text"][: 5 + ids])
-
-    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, SCHEMA + ", ids_text string" * ids)
+                rows = batch.column(1).slice(start, stop - start).to_pylist()
+                parts = [np.array((r or "").split(), dtype=np.int32) for r in rows]
+                starts = np.cumsum([0, *map(len, parts)])
+                some = np.concatenate(parts)
+                if not coder.known_id[np.clip(some, 0, len(coder.known_id) - 1)].all() or len(some) and (some.min() < 0 or some.max() >= len(coder.known_id)):
+                    raise ValueError("an id is not in the vocabulary")
+                out = [None if r is None else bytes(x) for r, x in zip(rows, coder.decode(some, starts))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(out, pa.binary())], ["doc_id", "decoded"])
+
+    chosen = coded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(ids).cast("string").alias("ids"))
+    return in_batches(chosen, run, "doc_id long, decoded binary", "bpe")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -61,14 +62,41 @@ def release() -> None:
         pass
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """df.mapInArrow with batches of bounded bytes, whatever the length of texts, and with release() after each task.
-    The bound is a setting of the session, made unless it has one."""
+#: What a Python worker keeps from one task to the next: the state of one operator, by its name and parameters.
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The worker's state of that key, made if it isn't there. Any other state goes first: a worker outlives its tasks
+    and serves all operators, so it would otherwise gather the state of each."""
+    if key not in _HELD:
+        drop_held()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def drop_held(but: str | None = None) -> None:
+    """Lets go of all state but that of the operator named."""
+    gone = [k for k in _HELD if k[0] != but]
+    for k in gone:
+        del _HELD[k]
+    if gone:
+        gc.collect()
+        release()
+
+
+def in_batches(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps: str | None = None
+) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, whatever the length of texts. A task starts without the state that
+    other operators left in its worker (keeps: the operator whose state it uses) and ends with release(). The bound is
+    a setting of the session, made unless it has one."""
     spark = df.sparkSession
     if spark.conf.get(BATCH_SETTING, None) is None or int(re.sub(r"\D", "", spark.conf.get(BATCH_SETTING)) or 0) <= 0:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_held(keeps)
         yield from run(batches)
         release()
 

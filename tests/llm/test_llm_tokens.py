@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from test_llm_golay_simhash import docs
@@ -36,25 +38,56 @@ def test_bpe_equals_the_library(spark):
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() and got[i]["decoded_ok"]
 
 
+def library_of(name="byte_bpe_50k.tiktoken"):
+    ranks = bpe.ranks_of(tokenfiles.path(name))
+    return tiktoken.Encoding("own", pat_str=tokenfiles.pattern(), mergeable_ranks=ranks, special_tokens={})
+
+
+def ids_of(coder, texts):
+    ids, at = coder.encode(texts)
+    assert [bytes(x) for x in coder.decode(ids, at)] == [t.encode() for t in texts]
+    return [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+
+
 def test_bpe_caches_turn_over():
     coder = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern())
-    coder.words.most = coder.chunks.most = 10
+    coder.known.most = 10
     texts = noise(60, 2)
-    first = coder.encode(texts)[0].to_pylist()
-    assert [coder.encode([t])[0][0].as_py() for t in texts] == first
+    first = ids_of(coder, texts)
+    assert [ids_of(coder, [t])[0] for t in texts] == first
 
 
-def test_very_long_words():
-    coder = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern())
-    library = tiktoken.Encoding("own", pat_str=tokenfiles.pattern(), mergeable_ranks=bpe.ranks_of(tokenfiles.path("byte_bpe_50k.tiktoken")), special_tokens={})
+def test_words_of_any_length():
+    coder, library = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern()), library_of()
     rng = random.Random(4)
-    words = ["a" * 5000, "".join(rng.choice("theaingsr") for _ in range(4000)), "é" * 3000, "x" * 200_000]
-    ids, plain = coder.encode(words)
-    assert plain.to_pylist() == [w.encode() for w in words]
-    for w, i in zip(words[:3], ids.to_pylist()):
-        assert i == " ".join(map(str, library.encode_ordinary(w)))
-    for w in [w[:300] for w in words]:
-        assert coder.merge(w.encode()) == list(map(int, coder.encode([w])[0][0].as_py().split()))
+    letters = ["a", "ab", "theaingsr", "=-", "é", "日本", "0123456789", "aeiou", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    words = ["".join(rng.choice(some) for _ in range(n)) for some in letters for n in (60, 64, 65, 66, 200, 1500)]
+    assert ids_of(coder, words) == [library.encode_ordinary(w) for w in words]
+    words = ["a" * 5000, "".join(rng.choice("theaingsr") for _ in range(4000)), "é" * 3000]
+    assert ids_of(coder, words) == [library.encode_ordinary(w) for w in words]
+    assert sum(map(len, ids_of(coder, ["x" * 200_000]))) < 200_000
+
+
+def test_both_queries_give_the_same_ids():
+    coder = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern())
+    rng = random.Random(5)
+    raw = ["".join(rng.choice(some) for _ in range(rng.randint(1, 40))).encode() for some in ("ab", "theaingsr", "aaab", "é日a") for _ in range(100)]
+    short, long_ = (coder.merge(raw, q) for q in (bpe.ENCODE, bpe.ENCODE_LONG))
+    assert short[0].tolist() == long_[0].tolist() and short[1].tolist() == long_[1].tolist()
+
+
+def test_bpe_decodes_ids(spark):
+    texts = ODD + noise(50, 6)
+    coded = bpe.encode(docs(spark, texts), ids=True).withColumn("decoded", F.lit("mine"))
+    got = {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(coded).collect()}
+    assert got == {i: (t or "").encode() for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "64"), (2, "64 64")], "doc_id long, ids_text string")
+    one = bpe.Codec(tokenfiles.path("byte_bpe_50k.tiktoken"), tokenfiles.pattern()).decode(np.array([64], dtype=np.int32), np.array([0, 1]))[0]
+    rows = [(r["doc_id"], None if r["decoded"] is None else bytes(r["decoded"])) for r in bpe.decode(odd).collect()]
+    assert sorted(rows, key=str) == sorted([(1, None), (2, b""), (None, bytes(one)), (2, bytes(one) * 2)], key=str)
+    assert bpe.decode(odd.limit(0)).count() == 0
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([(1, "9999999")], "doc_id long, ids_text string")).collect()
 
 
 def test_bpe_small_slices_and_other_vocabulary(spark):
