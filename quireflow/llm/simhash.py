@@ -176,8 +176,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, err
     return own.join(roots, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
     """docs without near duplicates: of each component the rows of its least doc_id stay, so rows that repeat a doc_id
     stay or go together. Rows without doc_id stay. Columns as in docs."""
-    found = near_duplicates(docs, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = near_duplicates(docs, text, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"].cast("long") == found["_gone"], "left_anti")

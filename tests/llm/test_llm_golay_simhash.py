@@ -15,9 +15,9 @@ def docs(spark, texts, ids=None):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def plain_fingerprint(text):
+def plain_fingerprint(text, size=4):
     words = (text or "").encode().lower().split()
-    parts = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    parts = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
     return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
 
@@ -141,3 +141,23 @@ def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(60)] + [(5, 5), (1, 0), (100, 101)]
     found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), "u", "v").collect()}
     assert found == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_components_do_not_stop_early(spark, monkeypatch):
+    """However hashes of the state might agree between rounds, long paths and combs are followed to their ends."""
+    monkeypatch.setattr(components.F, "xxhash64", lambda *columns: components.F.lit(0))
+    rng = np.random.default_rng(5)
+    names = rng.permutation(400).tolist()
+    edges = list(zip(names[:150], names[1:151])) + [(names[i], names[200 + i]) for i in range(0, 150, 3)] + [(names[151 + i % 7], names[160 + i]) for i in range(30)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long"), "u", "v").collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert found == {x: find(x) for x in {x for e in edges for x in e}}
