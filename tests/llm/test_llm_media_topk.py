@@ -134,7 +134,7 @@ def brute(rows, queries_, k=5):
         if q is None or not ok(v):
             continue
         w = [math.floor(256 * x) for x in v]
-        best = sorted({(-sum(a * b for a, b in zip(w, c)), i) for i, c in known if i != q and len(c) == len(w)})[:k]
+        best = sorted((-sum(a * b for a, b in zip(w, c)), i) for i, c in known if i != q and len(c) == len(w))[:k]
         out += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
     return sorted(out)
 
@@ -144,6 +144,7 @@ def test_top_k_against_all_pairs(spark, block, dim):
     rng = np.random.default_rng(block + dim)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=dim), 1)]) for i in range(150)]
     rows += [(200 + i, rows[3][1]) for i in range(40)]  # a common vector: ties
+    rows += [(201, rows[3][1]), (201, rows[7][1]), (149, rows[9][1])]  # rows that repeat a vec_id
     rows += [(300, None), (301, []), (302, [1.0] * (dim + 1)), (303, [float("nan")] * dim), (304, [float("inf")] * dim), (305, [None] * dim), (None, [1.0] * dim), (306, [0.0] * dim), (307, [-3.0] * dim), (350, [None] * dim)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine")).withColumn("slice", F.lit(1))
     asked = df.where("vec_id % 10 = 0")
@@ -152,6 +153,27 @@ def test_top_k_against_all_pairs(spark, block, dim):
     assert got == brute(single, [(i, v) for i, v in single if i is not None and i % 10 == 0])
 
 
+def test_top_k_completes_few_scores():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 32))
+    c = np.floor(256 * (centres[rng.integers(0, 40, 4000)] + 0.1 * rng.normal(size=(4000, 32))))
+    c[2000:] = np.floor(c[2000:] / 50)  # a block of small vectors
+    q, own = c[:30], np.arange(30)[:, None] == np.arange(2000)[None, :]
+    scores = np.where(own, -np.inf, q @ c[:2000].T)
+    blocks = [topk._partials(q, c[at : at + 2000], 4) for at in (0, 2000)]
+    rows, cols, score, top = topk.local_lists(blocks[0], own, 5)
+    assert len(rows) <= 30 * 5 * 4 and (score == scores[rows, cols]).all()
+    cutoff = np.array([np.sort(score[rows == i])[-5] for i in range(30)])
+    assert (cutoff <= np.sort(scores, axis=1)[:, -5]).all()
+    got = topk.collected(blocks[0], own, top, cutoff)
+    assert len(got[0]) < 0.2 * own.size  # most scores are never put together
+    found = np.zeros(own.shape, dtype=bool)
+    found[got] = True
+    assert found[scores >= cutoff[:, None]].all()
+    far = topk.local_lists(blocks[1], np.zeros_like(own), 5)[3]
+    assert (far.sum(axis=1) < cutoff).all()  # the other block is left out altogether
+
+
 def test_top_k_few_and_large(spark):
     df = spark.createDataFrame([(0, [1e6, 2.0]), (1, [-1e6, 3.0]), (2, [3e7, -3e7])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.search(df, df).collect())) == brute([tuple(r) for r in df.collect()], [tuple(r) for r in df.collect()])
