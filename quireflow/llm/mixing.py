@@ -7,8 +7,8 @@ of every source go to its left half (a multivariate hypergeometric draw), down t
 the next blocks of every source, disjoint from all others', and shuffles the rows locally.
 
 The last block of a quota is cut at a row: its rows' hashes are narrowed down by further bits, level by level, each by
-one aggregation, and up to FILLS rows that fill the gap best are added. The driver sees a bounded number of counts to each
-source (`BLOCKS` a level) and a row of the tree to each source.
+one aggregation and a running sum over a source's bins, and up to FILLS rows that fill the gap best are added. The driver
+sees a row to each source, which has a listed weight, and holds a row of the tree to each.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quireflow.llm.common import cut, words_of
 
@@ -26,9 +26,8 @@ WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 BLOCKS, LEVELS, SHARDS, SEED = 1024, 3, 16, 20240501
 #: Rows that may be added past a source's cut to fill what is left of its target.
 FILLS = 3
-#: Sources have given weights, so somebody lists them; more than this many are refused, none is dropped. A table of so
-#: many rows is broadcast.
-MAX_SOURCES = 20_000
+#: A table of facts of so many sources is broadcast; a longer one is joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 BITS = BLOCKS.bit_length() - 1
 
 
@@ -86,17 +85,16 @@ FACTS = "_source string, _size long, _target double, _full int, _left double, _c
 
 def with_facts(rows: DataFrame, sources: list[Source]) -> DataFrame:
     """rows with what is known of their sources. The table has a row to each source: it is broadcast within the bound
-    of MAX_SOURCES."""
+    of BROADCAST_SOURCES, else joined as it is."""
     facts = [(s.name, s.size, float(s.target), s.full, float(s.left), s.cut, s.done, list(s.extra), s.shards) for s in sources]
     known = rows.sparkSession.createDataFrame(facts, FACTS)
-    return rows.join(F.broadcast(known), rows["source"].eqNullSafe(known["_source"])).drop("_source")
+    known = F.broadcast(known) if len(sources) <= BROADCAST_SOURCES else known
+    return rows.join(known, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
 
 
 def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, passes=PASSES, shards=SHARDS, seed=SEED) -> list[Source]:
     """The sources of rows(source, size, h): targets, cuts and the blocks that each shard takes."""
-    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: their weights can't be listed")
+    found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()
     sources = [Source(r["source"], int(r["size"]), int(r["rows"])) for r in found]
     sources.sort(key=lambda s: (s.name is None, (s.name or "").encode("utf-8")))
     for s, t in zip(sources, targets([s.size for s in sources], weights, share, passes)):
@@ -110,20 +108,19 @@ def plan(rows: DataFrame, weights=WEIGHTS, share=SHARE, passes=PASSES, shards=SH
             break
         shift = 63 - BITS * level
         inside = with_facts(rows, going).where(F.shiftright("h", shift + BITS) == F.shiftright("_cut", shift + BITS))
-        sizes = {}
-        for r in inside.groupBy("source", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("size")).collect():
-            sizes.setdefault(r["source"], []).append((r["bin"], int(r["size"])))
+        bins = inside.groupBy("source", "_left", F.shiftright("h", shift).alias("bin")).agg(F.sum("size").alias("size"))
+        upto = F.sum("size").over(Window.partitionBy("source").orderBy("bin")).alias("upto")
+        sums = bins.select("source", "_left", "bin", upto, "size")
+        # of each source the first bin that doesn't fit, with the words before it, else the last one with all words
+        over = F.min(F.when(F.col("upto") > F.col("_left"), F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))))
+        ends = {r["source"]: r for r in sums.groupBy("source").agg(over.alias("over"), F.max(F.struct("bin", "upto")).alias("last")).collect()}
         for s in going:
-            here = s.cut >> shift
-            for bin_, size in sorted(sizes.get(s.name, [])):
-                if size > s.left:
-                    here = bin_
-                    break
-                s.left -= size
-                here = bin_ + 1
-            else:
+            if not (r := ends.get(s.name)):  # no row in the block: all before it fits
                 s.done = True
-            s.cut = here << shift
+            elif r["over"]:
+                s.cut, s.left = r["over"]["bin"] << shift, s.left - r["over"]["before"]
+            else:
+                s.cut, s.left, s.done = (r["last"]["bin"] + 1) << shift, s.left - r["last"]["upto"], True
     # the row past the cut that leaves the least gap, if it leaves a smaller one, and so on
     for _ in range(FILLS):
         going = [s for s in sources if s.full < passes and s.left > 0.5]
@@ -178,10 +175,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: tu
     return decided(rows, plan(rows, weights, share, passes, shards, seed), shards)
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mix itself: rows of docs, each as often as the mix takes it, in the columns of docs."""
-    seed = how.get("seed", SEED)
+def _dealt(docs: DataFrame, text: str, source: str, **how) -> DataFrame:
+    """(_shard, _row): a row for each time that the mix takes a row of docs. The rows of a shard lie together in ranges of a hash of row, pass and shard, sorted by it: each shard is shuffled by
+    itself, and the passes over a source come in different orders. A range is a task's work: their number follows the
+    session's shuffle partitions, so shards may be of any size."""
+    seed, shards = how.get("seed", SEED), how.get("shards", SHARDS)
     rows = cut(sized(docs, text, source, seed), "sizes")
-    sources = plan(rows, how.get("weights", WEIGHTS), how.get("share", SHARE), how.get("passes", PASSES), how.get("shards", SHARDS), seed)
-    named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.lit(0).cast("long").alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
-    return decided(named, sources, how.get("shards", SHARDS)).where("copies > 0").withColumn("_shard", F.explode("shards")).sortWithinPartitions("_shard", "h").select("_row.*")
+    sources = plan(rows, how.get("weights", WEIGHTS), how.get("share", SHARE), how.get("passes", PASSES), shards, seed)
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
+    named = docs.select(
+        F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.lit(0).cast("long").alias("size"), h.alias("h")
+    )
+    taken = decided(named, sources, shards).where("copies > 0").select("_row", "h", F.posexplode("shards").alias("_pass", "_shard"))
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = -(-parts // shards)
+    dealt = taken.withColumn("_order", F.xxhash64(F.lit(seed + 1), "h", "_pass", "_shard")).withColumn("_range", F.pmod(F.shiftright("_order", 40), F.lit(ranges)))
+    return dealt.repartition(parts, "_shard", "_range").sortWithinPartitions("_shard", "_range", "_order").select("_shard", "_row")
+
+
+def sharded(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix laid out by shards: _shard and the columns of docs. Nulls, ties, empty tables: see mix()."""
+    return _dealt(docs, text, source, **how).select("_shard", "_row.*")
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The mix itself: rows of docs, each as often as the mix takes it, in the columns of docs, laid out as sharded()
+    does."""
+    return _dealt(docs, text, source, **how).select("_row.*")
