@@ -4,9 +4,10 @@ Labelled texts give n-gram counts of each language (orders 1 to ORDER), counted
 combining. Every n-gram that any language has seen becomes an entry of a sorted hash array with its log-probability
 under each language; contexts have their back-off weights in an array alike. A text's cross-entropy under a language
 is the mean over its characters; the lowest one wins. How unlike its training texts a text may be before it is
-rejected is calibrated on labelled texts that took no part in the counts.
+rejected is calibrated by quantiles, in bands of length, on labelled texts that took no part in the counts.
 
-Training reads at most SAMPLE rows of each language: chosen by the hash of their ids, the same ones in any run.
+Training reads at most SAMPLE rows of each language: chosen by the hash of id and text, the same ones in any run. The
+model's size is that of the sample's n-grams times its languages.
 """
 
 from __future__ import annotations
@@ -25,10 +26,14 @@ from quireflow.llm.common import cut, in_batches, release, runs
 ORDER, SAMPLE, CALIBRATION, DISCOUNT = 3, 1500, 300, 0.75
 #: Ranges of hashes by which training rows are chosen.
 BUCKETS = 4096
-#: A text is rejected whose cross-entropy (nats a character) is above the calibration's mean by so many deviations.
-DEVIATIONS = 10.0
-#: Languages that a model may hold: rows to each are looked up.
-MAX_LANGUAGES = 500
+#: Bands of length (characters) in which rejection is calibrated: each from its value on, the first from 0.
+BANDS = (5, 10, 20, 40, 80, 160, 320, 1280)
+#: A text is rejected whose cross-entropy (nats a character) is above its band's quantile QUANTILE of held-out texts by
+#: more than SPREAD times the quantile's distance from the median, and by more than MARGIN: a document with some odd
+#: passages stays. A band of fewer than ENOUGH texts borrows from the next shorter one.
+QUANTILE, SPREAD, MARGIN, ENOUGH = 0.99, 2.0, 2.0, 5
+#: Rows up to which the chosen ids are broadcast.
+BROADCAST_ROWS = 1_000_000
 UNKNOWN = "und"
 #: Bits of a character in a packed n-gram.
 CHAR = 21
@@ -90,6 +95,11 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def band_of(length: np.ndarray) -> np.ndarray:
+    """The band of each length."""
+    return np.maximum(np.searchsorted(BANDS, length, side="right") - 1, 0)
+
+
 @dataclass
 class Model:
     """Sorted hash arrays of one order each. prob[n]: log-probability of the n-gram's last character (row) under each
@@ -150,9 +160,7 @@ class Model:
         # the languages' shares at the evidence of at most 20 characters: more would round every score to 1
         weight = np.minimum(length, 20)[:, None]
         share = 1 / np.exp((least[:, None] - entropy) * weight).sum(axis=1)
-        # short texts stray further: a mean of n characters deviates by 1/sqrt(n)
-        bound = self.limit[best, 0] + DEVIATIONS * (self.limit[best, 1] + self.limit[best, 2] / np.sqrt(np.maximum(length, 1)))
-        rejected = ~has | (least > bound)
+        rejected = ~has | (least > self.limit[best, band_of(length)])
         names = [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())]
         return names, np.where(has, share, 0.0), rejected
 
@@ -207,32 +215,41 @@ def estimate(languages: list[str], lang: np.ndarray, n: np.ndarray, gram: np.nda
         contexts.append(context)
         gammas.append(np.log(gamma).astype(np.float32))
     floor = np.full(size, np.log(uniform)) + (gammas[0][0] if len(gammas[0]) else 0)
-    return Model(languages, keys, [np.log(x).astype(np.float32) for x in p], contexts, gammas, floor.astype(np.float32), np.zeros((size, 3)))
+    return Model(languages, keys, [np.log(x).astype(np.float32) for x in p], contexts, gammas, floor.astype(np.float32), np.full((size, len(BANDS)), np.inf))
 
 
 def chosen(labelled: DataFrame, rows: int) -> DataFrame:
-    """(lang, doc_id, r): the `rows` ids of each language with the least hashes, ranked from 1; all if there are fewer.
+    """(lang, doc_id, th, r): of each language the `rows` pairs of id and text (by its hash) with the least hashes, ranked
+    from 1; all if there are fewer.
 
-    Hashes are cut into BUCKETS ranges and counted with map-side combining. Only ids of the first ranges that hold
-    enough are ranked, so no task meets a frequent language's every id.
+    Hashes are cut into BUCKETS ranges and counted with map-side combining. Only pairs of the first ranges that hold
+    enough are ranked, so no task meets a frequent language's every row. Repeated rows count once.
     """
-    ids = labelled.select("lang", "doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    counts = ids.groupBy("lang", "b").agg(F.count("*").alias("n"))
+    ids = labelled.select("lang", "doc_id", "th", F.xxhash64(F.lit(7), "doc_id", "th").alias("h")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    counts = ids.groupBy("lang", "b").agg(F.approx_count_distinct("h", 0.1).alias("n"))
     before = Window.partitionBy("lang").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    enough = counts.withColumn("sofar", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("sofar") < rows).select("lang", "b")
+    # counts are right within some hundredths in sum: half as many again are ranked
+    enough = counts.withColumn("sofar", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("sofar") < rows + rows // 2).select("lang", "b")
     few = ids.join(enough, ["lang", "b"]).distinct()
-    return few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("b", "h", "doc_id"))).where(F.col("r") <= rows).select("lang", "doc_id", "r")
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("b", "h", "doc_id", "th")))
+    return ranked.where(F.col("r") <= rows).select("lang", "doc_id", "th", "r")
+
+
+def training(labelled: DataFrame, rows: int) -> DataFrame:
+    """(lang, r, t): at most `rows` rows of each language of labelled(doc_id, lang, t), those that chosen() names."""
+    labelled = labelled.where("lang is not null and doc_id is not null and t is not null").withColumn("th", F.xxhash64("t"))
+    languages = labelled.select("lang").distinct().count()
+    picked = chosen(labelled, rows)
+    picked = F.broadcast(picked) if rows * languages <= BROADCAST_ROWS else picked
+    return labelled.join(picked, ["lang", "doc_id", "th"]).dropDuplicates(["lang", "doc_id", "th"]).select("lang", "r", "t")
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> Model:
     """A model of labelled(doc_id, lang, t), from at most `sample` rows of each language, calibrated on up to
-    `calibration` further ones. Rows without id, label or text teach nothing. Without rows the model knows nothing."""
-    labelled = labelled.where("lang is not null and doc_id is not null")
-    picked = chosen(labelled, sample + calibration)
-    rows = cut(labelled.join(F.broadcast(picked) if (sample + calibration) * MAX_LANGUAGES <= 1_000_000 else picked, ["lang", "doc_id"]).where("t is not null").select("lang", "r", "t"), "training")
-    names = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    `calibration` further ones. Rows without id, label or text teach nothing, repeated ones once. Without rows the model
+    knows nothing."""
+    rows = cut(training(labelled, sample + calibration), "training")
+    names = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     # every fifth row calibrates, up to the number asked for
     held = (F.col("r") % 5 == 0) & (F.col("r") <= 5 * calibration)
     found = tallies(rows.where(~held)).toArrow()
@@ -245,20 +262,33 @@ def train(labelled: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRAT
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:
-    """Sets each language's mean entropy, deviation between texts, and deviation of a character."""
+    """Sets the greatest entropy by language and band of length. Each text of rows(lang, t) is scored whole and by its
+    beginnings of each band's length. A language with too few texts to calibrate on takes the others' greatest limits; if
+    no language has enough, nothing is rejected but texts without a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in runs(batch.column(1), 1 << 21):
-                entropy, length, has = model.entropies(batch.column(1).slice(start, stop - start).to_pylist())
-                own = [model.languages.index(x) for x in batch.column(0).slice(start, stop - start).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(entropy[np.arange(len(own)), own]), pa.array(length), pa.array(has)], ["lang", "e", "n", "has"])
-
-    scored = in_batches(rows.select("lang", "t"), run, "lang int, e double, n long, has boolean").where("has")
-    for r in scored.groupBy("lang").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).collect():
-        model.limit[r["lang"]] = r["m"], max(r["s"], 0.1), 1.0
-    for i in np.nonzero(model.limit[:, 0] == 0)[0]:  # nothing to calibrate on: nothing is rejected
-        model.limit[i] = np.inf, 0, 0
+            for start, stop in runs(batch.column(1), 1 << 20):
+                names, texts = (batch.column(i).slice(start, stop - start).to_pylist() for i in range(2))
+                pairs = [(model.languages.index(n), t[:size]) for n, t in zip(names, texts) for size in (*(b for b in BANDS if b < len(t)), None)]
+                own, some = np.array([p[0] for p in pairs]), [p[1] for p in pairs]
+                entropy, length, has = model.entropies(some)
+                columns = [pa.array(own, pa.int32()), pa.array(band_of(length), pa.int32()), pa.array(entropy[np.arange(len(own)), own]), pa.array(has)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "band", "e", "has"])
+
+    scored = in_batches(rows.select("lang", "t"), run, "lang int, band int, e double, has boolean").where("has")
+    known = {}
+    for r in scored.groupBy("lang", "band").agg(F.percentile("e", F.lit(QUANTILE)).alias("q"), F.percentile("e", F.lit(0.5)).alias("m"), F.count("*").alias("n")).collect():
+        if r["n"] >= ENOUGH:
+            known[r["lang"], r["band"]] = r["q"] + max(SPREAD * (r["q"] - r["m"]), MARGIN)
+    for i in range(len(model.languages)):
+        bands = [b for b in range(len(BANDS)) if (i, b) in known]
+        for b in range(len(BANDS)):
+            if bands:
+                model.limit[i, b] = known[i, max((x for x in bands if x <= b), default=bands[0])]
+    few = np.isinf(model.limit).all(axis=1)
+    if known:
+        model.limit[few] = model.limit[~few].max(axis=0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -262,6 +262,29 @@ def test_mix_against_plain_python(spark):
     assert {r["doc_id"]: r["copies"] for r in rows} == plain_copies(rows)
 
 
+def test_shards_lie_together_and_are_shuffled(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("_row", F.lit("mine")).withColumn("h", F.lit(0))
+    out = mixing.sharded(df).select("_shard", "doc_id", "source", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    rows = sorted(out.collect(), key=lambda r: r["at"])
+    decided = Counter((r["doc_id"], s) for r in mixing.mix(df).collect() for s in r["shards"])
+    assert Counter((r["doc_id"], r["_shard"]) for r in rows) == decided
+    orders = []
+    for s in range(16):
+        own = [r for r in rows if r["_shard"] == s]
+        assert len({r["part"] for r in own}) <= -(-4 // 16) and len({r["source"] for r in own}) > 1  # together in a task
+        ids = [r["doc_id"] for r in own]
+        assert ids != sorted(ids) and ids != sorted(ids, reverse=True)
+        orders.append(ids)
+    assert [[r["doc_id"] for r in sorted(mixing.sharded(df.repartition(3)).select("_shard", "doc_id", F.monotonically_increasing_id().alias("at")).collect(), key=lambda r: r["at"]) if r["_shard"] == s] for s in range(16)] == orders
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    df = spark.createDataFrame([(i, "w " * (i % 7), f"s{i % 60}") for i in range(600)], "doc_id long, text string, source string")
+    rows = mixing.mix(df).collect()
+    assert {r["doc_id"]: r["copies"] for r in rows} == plain_copies(rows) and len(rows) == 600
+
+
 def test_mix_odd_tables(spark):
     empty = docs(spark, ["x"]).limit(0)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
@@ -368,6 +391,34 @@ def test_identify_odd_texts(spark):
     assert langid.identify(df, model).where("rejected").count() == 0
 
 
+def test_training_is_bounded_by_rows(spark):
+    rows = [(1, "en", f"text number {i}") for i in range(900)] + [(2, "en", "the same row")] * 300 + [(i, "de", f"zeile {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, t string")
+    found = langid.training(df, 50).collect()
+    assert Counter(r["lang"] for r in found) == {"en": 50, "de": 40}
+    assert sorted(r["r"] for r in found if r["lang"] == "en") == list(range(1, 51))
+    assert len(langid.training(df, 5000).collect()) == 900 + 1 + 40
+    assert sorted(map(tuple, langid.training(df.repartition(5), 50).collect())) == sorted(map(tuple, found))
+
+
+def test_rejection_is_calibrated(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learnt(df)
+    assert np.isfinite(model.limit).all() and (model.limit[:, 0] >= model.limit[:, -1]).all()  # short texts stray further
+    held = [(r["lang"], r["text"]) for r in df.where(langid.fold() == 1).where("lang is not null").collect()]
+    names, _, rejected = model.predict([t for _, t in held])
+    assert not rejected.any() and sum(a == n for a, (n, _) in zip(names, held)) > 0.98 * len(held)
+    rng = random.Random(8)
+    noise = ["".join(rng.choice("qxzjkvwQXZ") for _ in range(n)) for n in (30, 100, 1000)]
+    assert model.predict([*noise, "эта фраза написана не так", "これは日本語の文です" * 30])[2].all()
+
+
+def test_many_languages(spark):
+    rows = [(i, f"l{i % 600}", f"{'abcdefghij'[i % 10] * 3} {i}") for i in range(1200)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, lang string, t string"))
+    assert len(model.languages) == 600 and model.predict(["aaa"])[0][0] in {f"l{i}" for i in range(600)}
+
+
 def test_prediction_does_not_depend_on_batches(spark):
     df = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
     model = langid.learnt(df)
