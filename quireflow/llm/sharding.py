@@ -59,13 +59,15 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row_number") -> tup
     apart, and each range's start is added. The driver sees a count for each range."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_ = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    kept = cut(sorted_.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "numbered")
-    start, total = {}, 0
-    for r in kept.groupBy("_range").count().orderBy("_range").collect():
-        start[r["_range"]], total = total, total + r["count"]
-    begin = F.create_map(*[F.lit(x) for pair in start.items() for x in pair]) if start else F.create_map(F.lit(0), F.lit(0))
-    first = F.element_at(begin.cast("map<bigint,bigint>"), F.col("_range").cast("long"))
-    return kept.withColumn(name, first + F.col("_at")).drop("_at", "_range"), total
+    kept = cut(sorted_.withColumn("_range", F.shiftright("_at", 33).cast("long")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1)), "numbered")
+    counts = kept.groupBy("_range").count().collect()
+    start, total = [], 0
+    for r in sorted(counts, key=lambda r: r["_range"]):
+        start.append((r["_range"], total))
+        total += r["count"]
+    # a row to each range: as many as the session has shuffle partitions, in their own table and not in the plan
+    first = F.broadcast(rows.sparkSession.createDataFrame(start, "_range long, _first long"))
+    return kept.join(first, "_range").withColumn(name, F.col("_first") + F.col("_at")).drop("_at", "_range", "_first"), total
 
 
 def shard_by_rows(docs: DataFrame, text: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -85,4 +87,4 @@ def shard_by_rows(docs: DataFrame, text: str = "text", shards: int = SHARDS, see
             yield pd.Series(permute(x.to_numpy(), n, seed))
 
     placed = rows.withColumn("_place", F.pandas_udf(place, "long")("row_number"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "row_number", (F.col("_place") % shards).cast("int").alias("shard"), F.expr(f"_place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_place") % shards).cast("int").alias("shard"), F.expr(f"_place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number")
