@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,28 +29,52 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="quireflow-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Tables that cut() wrote within own_tables(), innermost last.
+_OWN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def own_tables() -> Iterator[None]:
+    """Removes the tables that cut() writes meanwhile when it ends: what was to be read from them must be written."""
+    _OWN.append([])
+    try:
+        yield
+    finally:
+        for table in _OWN.pop():
+            drop_table(table)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder and read again: later steps neither repeat its work nor lose it with
     an executor. Columnar files take a fraction of what checkpoint() would."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quireflow-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(table)] = table, path
+    if _OWN:
+        _OWN[-1].append(table)
+    return table
+
+
+#: Tables of cut() and their paths, until they are dropped.
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def drop_table(df: DataFrame) -> None:
-    """Removes the files of a table that cut() wrote, once nothing reads it any more."""
+    """Removes the files of a table that cut() wrote, once nothing reads it any more; again does nothing."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quireflow-" in path:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _, path = _PATHS.pop(id(df), (None, None))
+    if path:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release() -> None:
