@@ -54,11 +54,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(documents(spark, sf_dir))
 
 
-def op10_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line dedup of every repeated passage of more than 50 words; the tests hold it against plain Python."""
-    return linededup.report(documents(spark, sf_dir), passages=True)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_license_scan": op2_license_scan,
@@ -70,7 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_line_dedup": op10_line_dedup,
-    "op10_line_passages": op10_line_passages,
 }
 
 def _license_sql() -> str:
@@ -104,11 +98,15 @@ lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) -
 hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM lines),
 ends AS (SELECT *, i = n - 1 OR (i >= 1 AND (lag(h) OVER w * 31 + h) % 4 = 0) AS stop FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 placed AS (SELECT *, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ends),
-units AS (
-    SELECT doc_id, min(i) AS start, max(i) + 1 AS stop, string_agg(line, chr(10) ORDER BY i) AS unit FROM placed GROUP BY doc_id, chunk HAVING count(*) > 1
-    UNION ALL
-    SELECT doc_id, i, i + 1, line FROM lines WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50
+counted AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY i) AS upto, upto - words AS before FROM (SELECT doc_id, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines) WHERE words > 0),
+spans AS (
+    SELECT doc_id, min(i) AS start, max(i) + 1 AS stop FROM placed GROUP BY doc_id, chunk HAVING count(*) > 1
+    UNION
+    SELECT a.doc_id, a.i, min(b.i) + 1 FROM counted a JOIN counted b ON b.doc_id = a.doc_id AND b.upto > a.before + 50 GROUP BY a.doc_id, a.i
+    UNION
+    SELECT b.doc_id, max(a.i), b.i + 1 FROM counted b JOIN counted a ON a.doc_id = b.doc_id AND a.before < b.upto - 50 GROUP BY b.doc_id, b.i
 ),
+units AS (SELECT s.doc_id, s.start, s.stop, string_agg(l.line, chr(10) ORDER BY l.i) AS unit FROM spans s JOIN lines l ON l.doc_id = s.doc_id AND l.i BETWEEN s.start AND s.stop - 1 GROUP BY s.doc_id, s.start, s.stop),
 again AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start, stop) AS r FROM units),
 gone AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM again WHERE r > 1),
 left_ AS (

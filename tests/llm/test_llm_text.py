@@ -101,7 +101,20 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
     assert got[9] == "" and got[10] is None and got[11] == "\n\n" and got[12] == "" and got[13] == "solo"
 
 
-def plain_lines(texts, window=2, divisor=4, most=50):
+def shortest_runs(lines, most):
+    """The shortest runs [start, stop) of more than `most` words, from each line with words on and up to each."""
+    words = [len(x.encode().split()) for x in lines]
+    out = set()
+    for a in range(len(lines)):
+        if words[a]:
+            heads = [b for b in range(a, len(lines)) if sum(words[a : b + 1]) > most]
+            tails = [b for b in range(a + 1) if words[b] and sum(words[b : a + 1]) > most]
+            out |= {(a, heads[0] + 1)} if heads else set()
+            out |= {(tails[-1], a + 1)} if tails else set()
+    return out
+
+
+def plain_lines(texts, window=2, divisor=4, most=50, passages=True):
     """The same by plain Python: {doc: kept lines}."""
     import hashlib
 
@@ -115,22 +128,25 @@ def plain_lines(texts, window=2, divisor=4, most=50):
                 if j + 1 - start > 1:
                     units.append((i, start, j + 1, "\n".join(lines[start : j + 1])))
                 start = j + 1
-        units += [(i, j, j + 1, x) for j, x in enumerate(lines) if len(x.encode().split()) > most]
+        if passages:
+            units += [(i, a, b, "\n".join(lines[a:b])) for a, b in shortest_runs(lines, most)]
+        else:
+            units += [(i, j, j + 1, x) for j, x in enumerate(lines) if len(x.encode().split()) > most]
     gone = defaultdict(set)
-    for i, a, b, u in sorted(units):
+    for i, a, b, u in sorted(set(units)):
         if u in seen:
             gone[i] |= set(range(a, b))
         seen.add(u)
     return ["\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("window", [2, 3])
-def test_lines_against_plain_python(spark, window):
+@pytest.mark.parametrize("window,passages", [(2, False), (3, False), (2, True), (3, True)])
+def test_lines_against_plain_python(spark, window, passages):
     rng = random.Random(8)
     pool = [long_line(rng, rng.choice([1, 5, 70])) for _ in range(30)]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(60)]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, texts), window=window).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_lines(texts, window)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, texts), window=window, passages=passages).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_lines(texts, window, passages=passages)
 
 
 def plain_passages(texts, most=50):
@@ -170,14 +186,23 @@ def test_passages_against_plain_python(spark):
     own = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(40)]
     for texts in ([r["text"] for r in table], own):
         lost = plain_passages(texts)
-        chunks = plain_lines(texts)
+        chunks = plain_lines(texts, passages=False)
         got = [r["text"] for r in linededup.dedup_lines(docs(spark, texts), passages=True).orderBy("doc_id").collect()]
         for t, new, gone, old in zip(texts, got, lost, chunks):
             left = [x for i, x in enumerate(t.split("\n")) if i not in gone]
             # beside passages only chunks and blank lines inside of passages go
             assert not Counter(filter(str.strip, new.split("\n"))) - Counter(left) and not Counter(filter(str.strip, new.split("\n"))) - Counter(old.split("\n"))
         assert {x for t in texts for x in t.split("\n")} - {""} == {x for t in got for x in t.split("\n")} - {""}
-    assert [r["doc_id"] for r in queries.QUERIES["op10_line_passages"](spark, SMALL).where("lines_removed > 0").collect()]
+    assert [r["doc_id"] for r in queries.QUERIES["op10_line_dedup"](spark, SMALL).where("lines_removed > 0").collect()]
+
+
+def test_text_of_very_many_lines(spark):
+    """Losing most of 40,000 lines takes time linear in them."""
+    rng = random.Random(20)
+    block = [long_line(rng, 12) for _ in range(20_000)]
+    texts = ["\n".join(block), "\n".join(["own first line", *block, "own last line"])]
+    got = linededup.report(docs(spark, texts)).orderBy("doc_id").collect()
+    assert got[0]["lines_removed"] == 0 and got[1]["n_lines"] == 20_002 and got[1]["lines_removed"] == 20_000
 
 
 def test_line_dedup_odd_tables(spark):
