@@ -16,20 +16,23 @@ Equal fingerprints are one node from the start, so copies cost nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import golay
-from quireflow.llm.common import cut, map_arrow, utf8_of
+from quireflow.llm.common import cut, in_batches, map_arrow, utf8_of
 from quireflow.llm.components import components
 
 #: Production parameters: words in a shingle, most differing bits, seed of the shingles' hash.
 WORDS, ERRORS, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Fingerprints in a block of one key.
-BLOCK = 512
+#: Fingerprints in a block of one key, and fingerprints whose keys go out at once: each has some hundreds, and a batch
+#: lies in the memory of Python and of the JVM.
+BLOCK, AT_ONCE = 512, 512
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -122,12 +125,14 @@ def links(distinct: DataFrame, errors: int = ERRORS, block: int = BLOCK) -> Data
     if errors > 4:
         raise ValueError("the keys cover at most 4 differing bits")
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        keys, sides, rows = keys_of(fps)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides), pa.array(fps[rows])], ["k", "side", "fp"])
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                fps = batch.column(0).slice(at, AT_ONCE).to_numpy(zero_copy_only=False)
+                keys, sides, rows = keys_of(fps)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sides), pa.array(fps[rows])], ["k", "side", "fp"])
 
-    rows = map_arrow(distinct.select("fp"), emit, "k long, side byte, fp long")
+    rows = in_batches(distinct.select("fp"), emit, "k long, side byte, fp long")
     n = F.count("*").alias("n")
     one = F.sum(F.expr("int(side = 1)"))
     counts = rows.groupBy("k").agg(n, one.alias("one")).where("n > 1 and (k >= (7L << 40) and one > 0 and one < n or k < (7L << 40))").drop("one")
