@@ -21,32 +21,55 @@ IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
 SUFFIX_PRIORITY = (".jpg", ".jpeg", ".png")
 SUFFIX_PRIORITY_CORRECTED = (".png", ".jpg", ".jpeg")
 
-# What annotators call a field, by the model's label.
-FIELDS_BY_LABEL = {
-    "BRANCH": ("branch_name", "warehouse"),
-    "COMPANY_NAME": ("vendor_name_ar", "vendor_name_en", "vendor_activity", "company_name"),
-    "CUSTOMER_ADDRESS": ("street_address",),
-    "CUSTOMER_NAME": ("customer_name", "recipient_name", "recipient_company"),
-    "CUSTOMER_NUMBER": ("customer_number",),
-    "CUSTOMER_PHONE": ("customer_phone", "recipient_phone"),
-    "CUSTOMER_VAT": ("customer_vat_number", "recipient_vat_number"),
-    "DISCOUNT": ("discount",),
-    "EMAIL": ("email",),
-    "INSTRUCTIONS": ("instructions",),
-    "INVOICE_DATE": ("issue_date", "issue_datetime", "hijri_date"),
-    "INVOICE_NUMBER": ("invoice_number", "invoice_ref", "offer_number"),
-    "INVOICE_TIME": ("issue_time",),
-    "INVOICE_TYPE": ("document_type", "invoice_type", "payment_type"),
-    "NET_AMOUNT": ("net_amount",),
-    "PAGE_NUMBER": ("page_number",),
-    "SELLER_ADDRESS": ("vendor_address_en", "seller_address"),
-    "SELLER_NAME": ("seller_name",),
-    "SELLER_PHONE": ("vendor_phone", "vendor_admin_phone"),
-    "SELLER_VAT": ("vendor_vat_number", "seller_vat_number", "vendor_cr_number"),
-    "SUBTOTAL": ("subtotal",),
-    "TAX": ("vat_amount", "vat_rate", "tax", "vat_taxable_qty"),
-    "TOTAL": ("grand_total", "total", "total_amount"),
-    "WEBSITE": ("website",),
+# The model's label of each field that annotators name.
+MODEL_LABELS = {
+    "invoice_number": "INVOICE_NUMBER",
+    "invoice_ref": "INVOICE_NUMBER",
+    "offer_number": "INVOICE_NUMBER",
+    "issue_date": "INVOICE_DATE",
+    "issue_datetime": "INVOICE_DATE",
+    "hijri_date": "INVOICE_DATE",
+    "issue_time": "INVOICE_TIME",
+    "document_type": "INVOICE_TYPE",
+    "invoice_type": "INVOICE_TYPE",
+    "payment_type": "INVOICE_TYPE",
+    "branch_name": "BRANCH",
+    "warehouse": "BRANCH",
+    "page_number": "PAGE_NUMBER",
+    "customer_name": "CUSTOMER_NAME",
+    "recipient_name": "CUSTOMER_NAME",
+    "recipient_company": "CUSTOMER_NAME",
+    "customer_vat_number": "CUSTOMER_VAT",
+    "recipient_vat_number": "CUSTOMER_VAT",
+    "customer_number": "CUSTOMER_NUMBER",
+    "customer_phone": "CUSTOMER_PHONE",
+    "recipient_phone": "CUSTOMER_PHONE",
+    "street_address": "CUSTOMER_ADDRESS",
+    "vendor_name_ar": "COMPANY_NAME",
+    "vendor_name_en": "COMPANY_NAME",
+    "vendor_activity": "COMPANY_NAME",
+    "company_name": "COMPANY_NAME",
+    "vendor_address_en": "SELLER_ADDRESS",
+    "seller_address": "SELLER_ADDRESS",
+    "vendor_vat_number": "SELLER_VAT",
+    "seller_vat_number": "SELLER_VAT",
+    "vendor_cr_number": "SELLER_VAT",
+    "vendor_phone": "SELLER_PHONE",
+    "vendor_admin_phone": "SELLER_PHONE",
+    "seller_name": "SELLER_NAME",
+    "subtotal": "SUBTOTAL",
+    "discount": "DISCOUNT",
+    "net_amount": "NET_AMOUNT",
+    "vat_amount": "TAX",
+    "vat_rate": "TAX",
+    "tax": "TAX",
+    "grand_total": "TOTAL",
+    "total": "TOTAL",
+    "total_amount": "TOTAL",
+    "vat_taxable_qty": "TAX",
+    "email": "EMAIL",
+    "website": "WEBSITE",
+    "instructions": "INSTRUCTIONS",
 }
 
 # Words that mark a key field on the token before it. TOTAL is spelt in visual order.

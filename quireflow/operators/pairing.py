@@ -6,7 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quireflow.constants import FIELDS_BY_LABEL, SPLIT_SEED, SPLITS
+from quireflow.constants import MODEL_LABELS, SPLIT_SEED, SPLITS
 
 #: Buckets of the hash order of a split: the largest sorts that one task does are rows / BUCKETS.
 BUCKETS = 4096
@@ -39,21 +39,21 @@ def crops_with_labels(crops: DataFrame, labels: DataFrame) -> DataFrame:
 
 def field_map(spark: SparkSession) -> DataFrame:
     """(gt_field, model_label): a fixed dimension of a few dozen rows."""
-    rows = [F.struct(F.lit(f).alias("gt_field"), F.lit(label).alias("model_label")) for label, fields in FIELDS_BY_LABEL.items() for f in fields]
+    rows = [F.struct(F.lit(f).alias("gt_field"), F.lit(label).alias("model_label")) for f, label in MODEL_LABELS.items()]
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def to_model_labels(fields: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Fields (label) with their model_label; such without one are dropped."""
-    mapping = field_map(fields.sparkSession) if mapping is None else mapping
-    return fields.join(F.broadcast(mapping), fields["label"] == mapping["gt_field"]).drop("gt_field")
+    mapping = F.broadcast(field_map(fields.sparkSession)) if mapping is None else mapping
+    return fields.join(mapping, fields["label"] == mapping["gt_field"]).drop("gt_field")
 
 
 def to_annotation_fields(entities: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
     """Entities (field: a model label) as candidates (gt_field): one row to each annotation field of the label, and
     the lower-cased label itself where no field is known."""
-    mapping = field_map(entities.sparkSession) if mapping is None else mapping
-    return entities.join(F.broadcast(mapping), entities["field"] == mapping["model_label"], "left").withColumn("gt_field", F.coalesce("gt_field", F.lower("field"))).drop("model_label")
+    mapping = F.broadcast(field_map(entities.sparkSession)) if mapping is None else mapping
+    return entities.join(mapping, entities["field"] == mapping["model_label"], "left").withColumn("gt_field", F.coalesce("gt_field", F.lower("field"))).drop("model_label")
 
 
 def hash_order(key: Column, seed: int = SPLIT_SEED) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quireflow.constants import SPLITS, SUFFIX_PRIORITY
 from quireflow.functions import text
 from quireflow.operators import generate, kie, metrics, ordering, pages, pairing
-from quireflow.plans.registry import QUERIES, query, table
+from quireflow.plans.registry import query, table
 from quireflow.sources import annotations as A
 
 
@@ -76,95 +76,93 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), 25, "doc_id")
 
 
-def _rows(rows: DataFrame, whole: bool, column: str = "text") -> DataFrame:
-    """All rows, or those of ASCII texts only."""
-    return rows if whole else rows.where(F.col(column).rlike(r"^[\x01-\x7F]*$"))
-
-
-@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))) AS normal_sha256 FROM documents WHERE regexp_full_match(text, '[\x01-\x7F]*')")
-def text_normalize(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Normal forms of ASCII texts; Arabic and other letters are held against Python in the tests."""
-    docs = _rows(table(spark, sf_dir, "documents"), whole)
+@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' '))) AS normal_sha256 FROM documents")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of all texts."""
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(text.normalize(F.col("text"), lowercase=True), 256).alias("normal_sha256"))
 
 
-@query(r"SELECT conv_id, turn, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:[./:-][0-9]+)*|[^ \t\n\r\f\v]') AS t FROM conversations WHERE regexp_full_match(text, '[\x01-\x7F]*'))")
-def tokenize(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    c = _rows(table(spark, sf_dir, "conversations"), whole)
+@query(r"SELECT conv_id, turn, len(t)::INT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[0-9]+(?:[./:-][0-9]+)*|[^ \t\n\r\f\v]') AS t FROM conversations)")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
     return c.withColumn("t", text.tokenize(F.col("text"))).select("conv_id", "turn", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
-@query("SELECT * FROM (VALUES (1, 'سلام 12', '12 مالس', '12 مالس'), (2, 'abc', 'abc', 'abc'), (3, 'ba 12', '12 ba', 'ba 12'), (4, 'مالس', 'سلام', 'سلام'), (5, '', '', '')) t(id, source, logical, words_only)".replace("'12 مالس', '12 مالس'", "'12 مالس', 'مالس 12'"))
-def to_logical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visual order brought back to logical order, over rows of our own: the tables hold no Arabic."""
-    rows = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("source")) for i, t in enumerate(("سلام 12", "abc", "ba 12", "مالس", ""), 1)])))
-    return rows.select("id", "source", text.to_logical(F.col("source")).alias("logical"), text.to_logical(F.col("source"), reverse_order=False).alias("words_only"))
+#: DuckDB's levenshtein() counts bytes: for it, the tables' letters beyond ASCII become control characters of one byte.
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_BYTES = "".join(map(chr, [*range(0x01, 0x09), *range(0x0E, 0x20)]))[: len(LETTERS)]
+
+
+def by_letters(sql: str) -> str:
+    """SQL whose levenshtein() compares letters."""
+    one = lambda x: f"translate({x}, '{LETTERS}', '{_BYTES}')"
+    return re.sub(r"levenshtein\((lower\(\w+\)|\w+), (lower\(\w+\)|\w+)\)", lambda m: f"levenshtein({one(m[1])}, {one(m[2])})", sql)
 
 
 _PAIRS = r"""
 pairs AS (
     SELECT conv_id, turn, role AS field, trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS truth, trim(regexp_replace(nxt, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS predicted
     FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt FROM conversations)
-    WHERE nxt IS NOT NULL AND regexp_full_match(text, '[\x01-\x7F]*') AND regexp_full_match(nxt, '[\x01-\x7F]*')
+    WHERE nxt IS NOT NULL
 )
 """
 
 
-def pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """(conv_id, turn, field, truth, predicted): each turn with the next one; unless whole, those of ASCII texts."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, field, truth, predicted): each turn with the next one."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     seen = table(spark, sf_dir, "conversations").withColumn("nxt", F.lead(F.struct("text")).over(w)).where("nxt is not null").withColumn("nxt", F.col("nxt.text"))
-    seen = _rows(_rows(seen, whole), whole, "nxt")
     squeezed = lambda c: text.squeeze(F.coalesce(F.col(c), F.lit("")))
     return seen.select("conv_id", "turn", F.col("role").alias("field"), squeezed("text").alias("truth"), squeezed("nxt").alias("predicted"))
 
 
-def scores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.field_scores(pairs(spark, sf_dir, whole), unicode=whole)
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.field_scores(pairs(spark, sf_dir))
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, turn, levenshtein(predicted, truth) AS char_distance, round(CASE WHEN length(truth) > 0 THEN levenshtein(predicted, truth) / length(truth) WHEN length(predicted) > 0 THEN 1 ELSE 0 END, 9) AS cer FROM pairs")
-def cer_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rates = metrics.error_rates(pairs(spark, sf_dir, whole), unicode=whole)
+@query(by_letters(f"WITH {_PAIRS} SELECT conv_id, turn, levenshtein(predicted, truth) AS char_distance, round(CASE WHEN length(truth) > 0 THEN levenshtein(predicted, truth) / length(truth) WHEN length(predicted) > 0 THEN 1 ELSE 0 END, 9) AS cer FROM pairs"))
+def cer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = metrics.error_rates(pairs(spark, sf_dir))
     return rates.select("conv_id", "turn", F.col("char_distance").cast("long").alias("char_distance"), F.round("cer", 9).alias("cer"))
 
 
 @query()
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distances of token lists: the tests hold them against a plain loop."""
-    return metrics.error_rates(pairs(spark, sf_dir, whole=True)).select("conv_id", "turn", "token_distance", "token_length", F.round("wer", 9).alias("wer"))
+    return metrics.error_rates(pairs(spark, sf_dir)).select("conv_id", "turn", "token_distance", "token_length", F.round("wer", 9).alias("wer"))
 
 
 _SCORES = f"WITH {_PAIRS}, s AS (SELECT *, (lower(predicted) = lower(truth))::INT::DOUBLE AS exact_match, CASE WHEN length(truth) > 0 THEN greatest(0, 1 - levenshtein(lower(predicted), lower(truth)) / length(truth)) WHEN length(predicted) > 0 THEN 0 ELSE 1 END AS edit_accuracy FROM pairs)"
 
 
-@query(f"{_SCORES} SELECT field, round(avg(exact_match), 9) AS exact_match, round(avg(edit_accuracy), 9) AS edit_accuracy, count(*) AS support FROM s GROUP BY field")
-def field_accuracy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = metrics.field_accuracy(scores(spark, sf_dir, whole))
+@query(by_letters(f"{_SCORES} SELECT field, round(avg(exact_match), 9) AS exact_match, round(avg(edit_accuracy), 9) AS edit_accuracy, count(*) AS support FROM s GROUP BY field"))
+def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.field_accuracy(scores(spark, sf_dir))
     return out.select("field", F.round("exact_match", 9).alias("exact_match"), F.round("edit_accuracy", 9).alias("edit_accuracy"), "support")
 
 
-@query(f"{_SCORES}, f AS (SELECT avg(exact_match) AS e, avg(edit_accuracy) AS a FROM s GROUP BY field) SELECT round((SELECT avg(e) FROM f), 9) AS macro_exact, round((SELECT avg(a) FROM f), 9) AS macro_edit, round(avg(exact_match), 9) AS micro_exact, round(avg(edit_accuracy), 9) AS micro_edit FROM s")
-def macro_micro_fields(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    out = metrics.macro_micro(scores(spark, sf_dir, whole))
+@query(by_letters(f"{_SCORES}, f AS (SELECT avg(exact_match) AS e, avg(edit_accuracy) AS a FROM s GROUP BY field) SELECT round((SELECT avg(e) FROM f), 9) AS macro_exact, round((SELECT avg(a) FROM f), 9) AS macro_edit, round(avg(exact_match), 9) AS micro_exact, round(avg(edit_accuracy), 9) AS micro_edit FROM s"))
+def macro_micro_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.macro_micro(scores(spark, sf_dir))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
-@query(f"WITH {_PAIRS} SELECT field, round(sum(levenshtein(predicted, truth)) / greatest(sum(length(truth)), 1), 9) AS cer, count(*) AS n FROM pairs GROUP BY field")
-def global_cer_micro(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.micro_error_rates(metrics.error_rates(pairs(spark, sf_dir, whole), unicode=whole), ["field"]).select("field", F.round("cer", 9).alias("cer"), "n")
+@query(by_letters(f"WITH {_PAIRS} SELECT field, round(sum(levenshtein(predicted, truth)) / greatest(sum(length(truth)), 1), 9) AS cer, count(*) AS n FROM pairs GROUP BY field"))
+def global_cer_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.micro_error_rates(metrics.error_rates(pairs(spark, sf_dir)), ["field"]).select("field", F.round("cer", 9).alias("cer"), "n")
 
 
-@query(f"WITH {_PAIRS}, c AS (SELECT conv_id, string_agg(predicted, ' ' ORDER BY turn, predicted, truth) AS p, string_agg(truth, ' ' ORDER BY turn, predicted, truth) AS t FROM pairs GROUP BY conv_id) SELECT conv_id, round(levenshtein(p, t) / length(t), 9) AS cer FROM c")
-def concatenated_cer(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query(by_letters(f"WITH {_PAIRS}, c AS (SELECT conv_id, string_agg(predicted, ' ' ORDER BY turn, predicted, truth) AS p, string_agg(truth, ' ' ORDER BY turn, predicted, truth) AS t FROM pairs GROUP BY conv_id) SELECT conv_id, round(levenshtein(p, t) / length(t), 9) AS cer FROM c"))
+def concatenated_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates of whole conversations, their turns joined."""
-    return metrics.global_error_rates(pairs(spark, sf_dir, whole), "turn", by=["conv_id"], unicode=whole).select("conv_id", F.round("cer", 9).alias("cer"))
+    return metrics.global_error_rates(pairs(spark, sf_dir), "turn", by=["conv_id"]).select("conv_id", F.round("cer", 9).alias("cer"))
 
 
-@query(f"WITH {_PAIRS} SELECT round(sum(d) / greatest(sum(length(truth)), 1), 9) AS cer, round(sum(d) / greatest(sum(w), 1), 9) AS char_distance_per_word, round(avg(CASE WHEN d IS NULL THEN 1 ELSE d / greatest(length(truth), 1) END), 9) AS mean_sample_cer, count(*) AS num_samples, count(d) AS num_detected FROM (SELECT CASE WHEN turn % 4 <> 0 THEN levenshtein(predicted, truth) END AS d, CASE WHEN turn % 4 <> 0 THEN truth END AS truth, CASE WHEN turn % 4 <> 0 THEN len(list_filter(string_split(truth, ' '), lambda x: x <> '')) END AS w FROM pairs)")
-def ocr_evaluation(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query(by_letters(f"WITH {_PAIRS} SELECT round(sum(d) / greatest(sum(length(truth)), 1), 9) AS cer, round(sum(d) / greatest(sum(w), 1), 9) AS char_distance_per_word, round(avg(CASE WHEN d IS NULL THEN 1 ELSE d / greatest(length(truth), 1) END), 9) AS mean_sample_cer, count(*) AS num_samples, count(d) AS num_detected FROM (SELECT CASE WHEN turn % 4 <> 0 THEN levenshtein(predicted, truth) END AS d, CASE WHEN turn % 4 <> 0 THEN truth END AS truth, CASE WHEN turn % 4 <> 0 THEN len(list_filter(string_split(truth, ' '), lambda x: x <> '')) END AS w FROM pairs)"))
+def ocr_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quarter of the samples counts as undetected."""
-    samples = pairs(spark, sf_dir, whole).withColumn("predicted", F.when(F.col("turn") % 4 != 0, F.col("predicted"))).withColumn("seconds", F.lit(0.5))
+    samples = pairs(spark, sf_dir).withColumn("predicted", F.when(F.col("turn") % 4 != 0, F.col("predicted"))).withColumn("seconds", F.lit(0.5))
     out = metrics.ocr_evaluation(samples)
     return out.select(*[F.round(c, 9).alias(c) for c in ("cer", "char_distance_per_word", "mean_sample_cer")], "num_samples", "num_detected")
 
@@ -173,41 +171,35 @@ _CHARS = f"WITH {_PAIRS}, c AS (SELECT substr(truth, i, 1) AS truth_char, substr
 
 
 @query(f"{_CHARS} SELECT * FROM n")
-def char_confusions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.char_confusions(pairs(spark, sf_dir, whole))
+def char_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.char_confusions(pairs(spark, sf_dir))
 
 
 @query(f"{_CHARS} SELECT * FROM n ORDER BY n DESC, truth_char, predicted_char LIMIT 20")
-def char_confusions_top20(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.top(metrics.char_confusions(pairs(spark, sf_dir, whole)), 20, [F.col("n").desc(), "truth_char", "predicted_char"])
+def char_confusions_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top(metrics.char_confusions(pairs(spark, sf_dir)), 20, [F.col("n").desc(), "truth_char", "predicted_char"])
 
 
 @query(f"{_CHARS} SELECT truth_char, coalesce(avg(n) FILTER (WHERE predicted_char = 'e'), 0) AS e, coalesce(avg(n) FILTER (WHERE predicted_char = 't'), 0) AS t, coalesce(avg(n) FILTER (WHERE predicted_char = ' '), 0) AS blank FROM n WHERE predicted_char IN ('e', 't', ' ') GROUP BY truth_char")
-def confusion_chars_pivot(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    few = metrics.char_confusions(pairs(spark, sf_dir, whole)).where(F.col("predicted_char").isin("e", "t", " "))
+def confusion_chars_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = metrics.char_confusions(pairs(spark, sf_dir)).where(F.col("predicted_char").isin("e", "t", " "))
     return metrics.confusion_pivot(few, ["e", "t", " "]).withColumnRenamed(" ", "blank")
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id, turn, round(levenshtein(predicted, truth) / length(truth), 9) AS cer FROM pairs WHERE length(truth) > 0 ORDER BY round(levenshtein(predicted, truth) / length(truth), 9) DESC, conv_id, turn LIMIT 20")
-def worst20(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rates = metrics.error_rates(pairs(spark, sf_dir, whole).where("length(truth) > 0"), unicode=whole).select("conv_id", "turn", F.round("cer", 9).alias("cer"))
+@query(by_letters(f"WITH {_PAIRS} SELECT conv_id, turn, round(levenshtein(predicted, truth) / length(truth), 9) AS cer FROM pairs WHERE length(truth) > 0 ORDER BY round(levenshtein(predicted, truth) / length(truth), 9) DESC, conv_id, turn LIMIT 20"))
+def worst20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = metrics.error_rates(pairs(spark, sf_dir).where("length(truth) > 0")).select("conv_id", "turn", F.round("cer", 9).alias("cer"))
     return metrics.top(rates, 20, [F.col("cer").desc(), "conv_id", "turn"])
 
 
-@query(f"WITH {_PAIRS} SELECT bin, count(*) AS n FROM (SELECT least(floor(greatest(0, least(3, levenshtein(predicted, truth) / length(truth))) / 3 * 30) + 1, 30)::INT AS bin FROM pairs WHERE length(truth) > 0) GROUP BY bin")
-def cer_histogram(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return metrics.histogram(metrics.error_rates(pairs(spark, sf_dir, whole).where("length(truth) > 0"), unicode=whole), "cer", 30, 0, 3)
-
-
-@query(f"{_SCORES} SELECT conv_id, turn, field, predicted, truth FROM s WHERE exact_match = 0")
-def failures(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return scores(spark, sf_dir, whole).where("exact_match = 0").select("conv_id", "turn", "field", "predicted", "truth")
+@query(by_letters(f"WITH {_PAIRS} SELECT bin, count(*) AS n FROM (SELECT least(floor(greatest(0, least(3, levenshtein(predicted, truth) / length(truth))) / 3 * 30) + 1, 30)::INT AS bin FROM pairs WHERE length(truth) > 0) GROUP BY bin"))
+def cer_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(metrics.error_rates(pairs(spark, sf_dir).where("length(truth) > 0")), "cer", 30, 0, 3)
 
 
-#: Over whole tables, beyond ASCII with NFKC. DuckDB has neither the normal form nor the folding, so these have no SQL and the
-#: tests hold them against plain Python; their namesakes keep to the rows on which the SQL agrees.
-WHOLE = (text_normalize, tokenize, cer_pairs, field_accuracy, macro_micro_fields, global_cer_micro, concatenated_cer, ocr_evaluation, char_confusions, char_confusions_top20, confusion_chars_pivot, worst20, cer_histogram, failures)
-QUERIES.update({f"{f.__name__}_whole": partial(f, whole=True) for f in WHOLE})
+@query(by_letters(f"{_SCORES} SELECT conv_id, turn, field, predicted, truth FROM s WHERE exact_match = 0"))
+def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(spark, sf_dir).where("exact_match = 0").select("conv_id", "turn", "field", "predicted", "truth")
 
 
 _RULED = "ruled AS (SELECT CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS y_true, CASE WHEN n_chars > 3000 THEN 'good' WHEN n_chars > 400 THEN 'poor' ELSE 'O' END AS y_pred FROM documents JOIN labels USING (doc_id))"
