@@ -28,7 +28,7 @@ from quireflow.llm.common import held, in_batches, runs
 
 #: Entries in each generation of a worker's cache, bytes of words that one recursive query takes (a longer word is
 #: alone), DuckDB's memory.
-CACHE, AT_ONCE, MEMORY = 80_000, 1 << 17, "100MB"
+CACHE, AT_ONCE, MEMORY = 120_000, 1 << 17, "100MB"
 #: Longest pre-token (bytes) of which each step contracts one pair.
 SHORT = 64
 #: Bits of a token's position within its word.
@@ -260,7 +260,7 @@ def encode(
     vocabulary: str = "byte_bpe_50k.tiktoken",
     folder: str | None = None,
     ids: bool = False,
-    at_once: int = 1 << 20,
+    at_once: int = 1 << 21,
 ) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the bytes
     that the row's ids decode to), decoded_ok (these are the text's bytes); with ids also ids_text, the ids themselves.
@@ -293,7 +293,7 @@ def encode(
 
 
 def decode(
-    coded: DataFrame, ids: str = "ids_text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None, at_once: int = 1 << 20
+    coded: DataFrame, ids: str = "ids_text", vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None, at_once: int = 1 << 21
 ) -> DataFrame:
     """(doc_id, decoded) per row of coded(doc_id, ids): the bytes that its decimal ids, joined by a space, stand for.
     Null ids decode to null, no ids to no bytes; an id that the vocabulary lacks fails the job. doc_id may be null or
