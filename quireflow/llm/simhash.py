@@ -16,7 +16,7 @@ Equal fingerprints are one node from the start, so copies cost nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,10 @@ BLOCK, AT_ONCE = 512, 512
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one UTF-8 text. Null, empty or blank: 0."""
+def shingle_hashes(text: bytes | None, words: int = WORDS, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The hashes of one UTF-8 text's shingles, repeats included, some at a time. Null, empty or blank: none."""
     if not text or not (parts := text.lower().split()):  # bytes: lower() is A-Z only, split() is at \x20 and \x09-\x0D
-        return 0
+        return
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -48,13 +48,25 @@ def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int
         spans = (starts[: 1 - words].tolist(), ends[words - 1 :].tolist())
     else:
         spans = ([0], [len(line)])
-    hash_, counts, n = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), len(spans[0])
-    for at in range(0, n, CHUNK):
-        hashes = np.array([hash_(line[s:e], seed) for s, e in zip(spans[0][at : at + CHUNK], spans[1][at : at + CHUNK])], dtype="<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    hash_ = xxhash.xxh64_intdigest
+    for at in range(0, len(spans[0]), CHUNK):
+        yield np.array([hash_(line[s:e], seed) for s, e in zip(spans[0][at : at + CHUNK], spans[1][at : at + CHUNK])], dtype="<u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes that come some at a time: a bit is 1 if set in over half of them. None: 0."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for some in hashes:
+        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        n += len(some)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one UTF-8 text. Null, empty or blank: 0."""
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, seed: int = SEED) -> DataFrame:
     """(doc_id, fp): every row's fingerprint as a signed long. doc_id may be null or repeat."""
 
@@ -180,9 +192,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, err
     roots = nodes.join(found, nodes["node"] == found["node"], "left").select("fp", F.coalesce(found["component"], nodes["node"]).alias("component_id"))
     return own.join(roots, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
-
-def keep_one(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """docs without near duplicates: of each component the rows of its least doc_id stay, so rows that repeat a doc_id
-    stay or go together. Rows without doc_id stay. Columns as in docs."""
-    found = near_duplicates(docs, text, words).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_gone"], "left_anti")

@@ -129,12 +129,10 @@ def test_ball_of_fingerprints(spark):
 
 def test_odd_tables(spark):
     empty = docs(spark, ["x"]).limit(0)
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     df = docs(spark, ["a b c d e", "a b c d e", "zz", "a b c d e", "other thing"], [None, 3, 3, 5, None]).withColumn("fp", F.lit("mine")).withColumn("component_id", F.lit(0)).withColumn("_gone", F.lit(1))
     got = simhash.near_duplicates(df).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(False, 3, 3), (False, 3, 3), (False, 5, 3), (True, 0, 0), (True, 0, 0)]
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 3, 3]
 
 
 def test_components_of_a_path(spark):

@@ -4,7 +4,7 @@ from collections import Counter
 import tiktoken
 from oracle import SMALL
 from pyspark.sql import functions as F
-from test_llm_golay_simhash import plain_components, plain_fingerprint
+from test_llm_similar import plain_groups
 from test_llm_text import plain_lines
 
 import corpus_pipeline
@@ -34,7 +34,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     lines = dict(zip(ids, plain_lines([first[i][0] for i in ids])))
     assert {r["doc_id"]: r["text"] for r in two.collect()} == lines
     assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
-    groups = plain_components({i: plain_fingerprint(t, 5) for i, t in lines.items()})
+    groups = plain_groups(lines)
     kept = {i: t for i, t in lines.items() if groups[i] == i}
     assert {r["doc_id"]: r["text"] for r in three.collect()} == kept
     copies = Counter(r["doc_id"] for r in four.collect())
