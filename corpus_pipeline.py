@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quireflow.llm import bpe, langid, linededup, mixing, simhash
+from quireflow.llm import bpe, langid, linededup, mixing, similar
 from quireflow.llm.common import own_tables, shared_dir
 
 
@@ -29,8 +29,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by shingles of five words."""
-    return simhash.keep_one(docs, words=5).select(*docs.columns)
+    """One document of each group whose shingles of five words have a Jaccard similarity of 0.8 or more."""
+    return similar.keep_one(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
