@@ -131,13 +131,14 @@ def candidates(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
             for at in range(0, batch.num_rows, AT_ONCE):
                 part = [c.to_numpy(zero_copy_only=False) for c in batch.slice(at, AT_ONCE).columns]
                 keys, rows = keys_of([c.view(np.uint64) for c in part[1 : 1 + PRINTS]], [c.view(np.uint64) for c in part[1 + PRINTS :]])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c[rows]) for c in part[: 1 + PRINTS])], ["k", "node", *F_NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[0][rows]), pa.array(part[1][rows])], ["k", "node", "f0"])
 
-    rows = in_batches(nodes.where("m0 is not null").select("node", *F_NAMES, *M_NAMES), emit, "k long, node long, " + ", ".join(f"{c} long" for c in F_NAMES))
-    # keys of one text go no further; counting them moves keys only
+    rows = in_batches(nodes.where("m0 is not null").select("node", *F_NAMES, *M_NAMES), emit, "k long, node long, f0 long")
+    # keys of one text go no further; counting them moves keys only, and the other fingerprints follow the rest. f0 tells
+    # texts of a repeated doc_id apart
     counts = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     shared = cut(rows.join(counts, "k"), "similar-keys")
-    dealt = shared.withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), "of").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    dealt = shared.join(nodes.select("node", *F_NAMES), ["node", "f0"]).withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), "of").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     groups = dealt.groupBy("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("node", *F_NAMES)).alias("of")).where("size(of) > 1").select("k", "of")
 
     def meet(batch: pa.RecordBatch) -> pa.RecordBatch | None:
