@@ -137,7 +137,7 @@ def candidates(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     # keys of one text go no further; counting them moves keys only, and the other fingerprints follow the rest. f0 tells
     # texts of a repeated doc_id apart
     counts = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(rows.join(counts, "k"), "similar-keys")
+    shared = cut(rows.join(counts.hint("merge"), "k"), "similar-keys")
     dealt = shared.join(nodes.select("node", *F_NAMES), ["node", "f0"]).withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("node"), "of").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     groups = dealt.groupBy("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("node", *F_NAMES)).alias("of")).where("size(of) > 1").select("k", "of")
 
