@@ -1,6 +1,6 @@
 """Connected components of a graph of integer nodes, by alternating large-star and small-star steps (Kiveris et al.,
 "Connected Components in MapReduce and Beyond", 2014). Every step is an aggregation with map-side combining and an
-equi-join whose hot partitions adaptive execution can split; nothing is gathered at the driver but whether it is over.
+equi-join whose hot partitions adaptive execution can split; nothing is gathered or broadcast but whether it is over.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs (u, v): u's neighbours. Links the larger (large) or all (small: they are smaller) neighbours of u to the
     least node around u."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    met = pairs.join(least, "u")
+    met = pairs.join(least.hint("merge"), "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -28,7 +28,7 @@ def _unfinished(pairs: DataFrame) -> bool:
     ends = pairs.groupBy("u").agg(F.count("*").alias("n"))
     if ends.where("n > 1").limit(1).count():
         return True
-    return bool(pairs.select("v").distinct().join(ends.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count())
+    return bool(pairs.select("v").distinct().join(ends.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").limit(1).count())
 
 
 def components(edges: DataFrame, a: str, b: str, most: int = 50) -> DataFrame:

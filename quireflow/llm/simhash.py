@@ -11,7 +11,8 @@ Fingerprints of 64 bits are cut into three segments of 22, 21 and 21 bits, each
 
 Keys are counted with map-side combining; only rows of keys that can link anything go on. Keys of many fingerprints
 are cut into blocks, all pairs of which are compared. A group gives a spanning forest of its links, never all pairs.
-Equal fingerprints are one node from the start, so copies cost nothing.
+Equal fingerprints are one node from the start, so copies cost nothing. Joins are merge joins: all sides grow with the
+input, and what Spark takes for small by its files may be far larger at the driver.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def links(distinct: DataFrame, errors: int = ERRORS, block: int = BLOCK) -> Data
     n = F.count("*").alias("n")
     one = F.sum(F.expr("int(side = 1)"))
     counts = rows.groupBy("k").agg(n, one.alias("one")).where("n > 1 and (k >= (7L << 40) and one > 0 and one < n or k < (7L << 40))").drop("one")
-    met = cut(rows.join(counts, "k"), "simhash-keys")
+    # hint: rows and counts are many times the table of nodes, whose files Spark takes for their size
+    met = cut(rows.join(counts.hint("merge"), "k"), "simhash-keys")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = met.withColumn("of", blocks).withColumn("i", F.pmod(F.xxhash64("fp"), "of").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     groups = dealt.groupBy("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1").select("fps")
@@ -184,11 +186,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, err
     known = own.where("doc_id is not null")
     nodes = cut(known.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     pairs = links(nodes, errors)
-    ends = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
+    ends = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")).hint("merge"), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")).hint("merge"), "b").select("u", "v")
     # a doc_id with several rows joins their fingerprints
     several = known.groupBy("doc_id").agg(F.min("fp").alias("one"), F.max("fp").alias("other")).where("one <> other").select("doc_id")
-    more = known.join(several, "doc_id", "left_semi").join(nodes, "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    more = known.join(several.hint("merge"), "doc_id", "left_semi").join(nodes.hint("merge"), "fp").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = components(ends.unionByName(more), "u", "v")
-    roots = nodes.join(found, nodes["node"] == found["node"], "left").select("fp", F.coalesce(found["component"], nodes["node"]).alias("component_id"))
-    return own.join(roots, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    roots = nodes.join(found.hint("merge"), nodes["node"] == found["node"], "left").select("fp", F.coalesce(found["component"], nodes["node"]).alias("component_id"))
+    return own.join(roots.hint("merge"), "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

@@ -159,3 +159,13 @@ def test_components_do_not_stop_early(spark, monkeypatch):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     assert found == {x: find(x) for x in {x for e in edges for x in e}}
+
+
+def test_no_table_that_grows_is_broadcast(spark, monkeypatch):
+    """By the files of the fingerprints, keys look small; the driver could not hold them."""
+    plans, cut = [], simhash.cut
+    noted = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(simhash, "cut", lambda df, name: noted(df) or cut(df, name))
+    monkeypatch.setattr(components, "cut", lambda df, name: noted(df) or cut(df, name))
+    noted(simhash.near_duplicates(docs(spark, corpus())))
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
