@@ -10,7 +10,8 @@ completes the collected ones' scores exactly, drops what stays below the cutoff,
 
 Vectors are packed into blocks. Every block of queries meets every block of candidates once, by an equi-join on a
 slice number: candidates are dealt to slices, queries go to each slice. Work is thus queries times candidates, in
-blocks, but rows are few: k to a query and task.
+blocks, but rows are few: k to a query and task. All joins are merge joins: Spark doesn't count the copies of a query for
+each slice, so it would broadcast them, slices times what the driver was to hold.
 """
 
 from __future__ import annotations
@@ -206,7 +207,7 @@ def search(
 
     names = ["query_id", "vec_id", "score", "asked", "slice", "block", "top"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-    met = everywhere(asked).join(blocks, ["slice", "dim"]).select("qids", "qdata", "ids", "data", "asked", "slice", "block")
+    met = everywhere(asked).join(blocks.hint("merge"), ["slice", "dim"]).select("qids", "qdata", "ids", "data", "asked", "slice", "block")
     first = cut(in_batches(met, phase1, "query_id long, vec_id long, score long, asked long, slice int, block long, top binary"), "lists")
     score_rank = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     gathered = first.where("query_id is not null").select("query_id", "vec_id", "score")
@@ -220,11 +221,11 @@ def search(
                 qids = np.unique(qids)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("asked")[i].as_py()] * len(qids), pa.int64()), pa.array(qids)], ["asked", "query_id"])
 
-    named = asked.select("asked", "qids").mapInArrow(unpack, "asked long, query_id long").join(cutoffs, "query_id")
+    named = asked.select("asked", "qids").mapInArrow(unpack, "asked long, query_id long").join(cutoffs.hint("merge"), "query_id")
     by_block = named.groupBy("asked").agg(F.collect_list(F.struct(F.col("query_id").alias("q"), "c")).alias("cuts"))
-    ready = asked.join(by_block, "asked", "left").select("dim", "qids", "qdata", "asked", "cuts")
+    ready = asked.join(by_block.hint("merge"), "asked", "left").select("dim", "qids", "qdata", "asked", "cuts")
     ready = cut(ready.mapInArrow(with_cutoffs, "dim int, qids binary, qdata binary, asked long, cutoff binary"), "cutoffs")
     tops = first.where("top is not null").groupBy("asked", "slice").agg(F.collect_list(F.struct("block", "top")).alias("tops"))
-    met = everywhere(ready).join(tops, ["asked", "slice"]).join(blocks, ["slice", "dim"])
+    met = everywhere(ready).join(tops.hint("merge"), ["asked", "slice"]).join(blocks.hint("merge"), ["slice", "dim"])
     found = in_batches(met.select("qids", "qdata", "cutoff", "ids", "data", "tops", "block"), phase23, "query_id long, vec_id long, score long")
     return found.withColumn("rank", score_rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -182,3 +182,14 @@ def test_top_k_few_and_large(spark):
 
 def test_top_k_equals_sql(spark):
     assert same(spark, queries.QUERIES["op6_exact_top_k"], queries.ORACLE_SQL["op6_exact_top_k"]) > 0
+
+
+def test_top_k_broadcasts_nothing(spark, monkeypatch):
+    """Queries are repeated for each slice: as a broadcast they'd be held by the driver."""
+    plans, cut = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, name))
+    rng = np.random.default_rng(5)
+    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    found = topk.search(vectors, vectors.where("vec_id % 20 = 0"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) == 3 and not any("Broadcast" in p for p in plans)
