@@ -7,17 +7,17 @@ from each line on and one up to each line, are units too: every repeated passage
 and last line, whatever stands around it. A unit that occurs again anywhere, later in the order of doc_id and position,
 is removed.
 
-Runs overlap: their texts are many times the documents'. Only the SHA-256 of each unit's bytes is shuffled, with
-map-side combining, and stands for the comparison of the bytes; texts of documents move once, to meet the numbers of
-their removed lines. With passages=False units are chunks and single lines of more than `long_words` words, few enough
-for a comparison of the bytes themselves.
+Units of equal hash are candidates; their bytes are compared. Runs overlap, so that their texts are many times the
+documents': candidates of one pair of documents, as many lines apart, are put together, each line of theirs moves once,
+and a unit is a copy if all of its lines are equal. With passages=False units are chunks and single lines of more than
+`long_words` words, few enough to move as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quireflow.llm.common import cut
+from quireflow.llm.common import cut, drop_table
 
 #: Production parameters: lines under the rolling hash, mean lines in a chunk, words of a passage in one line.
 WINDOW, DIVISOR, LONG_WORDS = 2, 4, 50
@@ -70,17 +70,22 @@ def units_of(docs: DataFrame, text: str = "text", window: int = WINDOW, divisor:
     return cuts.select("_id", "_h", "lines", F.explode(both).alias("s")).select("_id", "_h", "s.start", "s.stop", F.array_join(F.slice("lines", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")), "\n").alias("unit"))
 
 
+def digest_of(unit: str) -> Column:
+    """What tells candidates: equal bytes have equal digests, and few others have."""
+    return F.xxhash64(unit, F.octet_length(unit))
+
+
 def removals(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """(_id, _h, gone): the line numbers that each row loses, rows that lose none left out."""
     units = units_of(docs, text, **how)
     if how.get("passages", True):
-        return _gone(_copies(units))
-    digest = units.select("_id", "_h", "start", "stop", F.xxhash64("unit", F.octet_length("unit")).alias("digest"))
+        return _gone(_copies(docs, text, units))
+    digest = units.select("_id", "_h", "start", "stop", digest_of("unit").alias("digest"))
     place = F.struct("_id", "_h", "start", "stop")
     found = cut(digest, "units")
     counts = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
     again = cut(counts.select("digest", "first"), "repeated")
-    texts = units.withColumn("digest", F.xxhash64("unit", F.octet_length("unit")))
+    texts = units.withColumn("digest", digest_of("unit"))
     # texts of candidates only: each meets the first occurrence's text and is compared byte by byte
     met = cut(texts.join(again, "digest").select("digest", place.alias("place"), F.col("first"), "unit"), "candidates")
     # a table of its own: a join of two plain scans is one whose hot digests adaptive execution can split
@@ -93,13 +98,48 @@ def removals(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     return _gone(same.select("place").unionByName(rest.select("place")))
 
 
-def _copies(units: DataFrame) -> DataFrame:
-    """(place): all occurrences but the first. Runs of lines overlap, so their texts are many times the documents':
-    their SHA-256 stands for the bytes, and no texts move."""
+def _copies(docs: DataFrame, text: str, units: DataFrame) -> DataFrame:
+    """(place): all occurrences but the first, compared byte by byte."""
     place = F.struct("_id", "_h", "start", "stop")
-    found = cut(units.select("_id", "_h", "start", "stop", F.unhex(F.sha2(F.col("unit").cast("binary"), 256)).alias("digest")), "units")
+    found = cut(units.select("_id", "_h", "start", "stop", digest_of("unit").alias("digest")), "units")
     again = cut(found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("digest", "first"), "repeated")
-    return found.join(again, "digest").select(place.alias("place"), "first").where("place <> first").select("place")
+    met = found.join(again.hint("merge"), "digest").where(place != F.col("first"))
+    # candidates of two documents that stand `shift` lines apart; a unit that meets one of other length is no copy
+    span = F.struct("start", "stop", (F.col("stop") - F.col("start") == F.col("first.stop") - F.col("first.start")).alias("even"))
+    shifts = met.groupBy("_id", "_h", F.col("first._id").alias("to_id"), F.col("first._h").alias("to_h"), (F.col("start") - F.col("first.start")).alias("shift")).agg(F.collect_set(span).alias("spans"))
+    lines = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["stop"] - 1)))))
+    regions = cut(shifts.withColumn("lines", lines).withColumn("region", F.monotonically_increasing_id()), "regions")
+    drop_table(found)
+    drop_table(again)
+    # both documents of a region give its lines, in one join
+    there = F.transform("lines", lambda i: i - F.col("shift"))
+    asked = regions.select(F.col("_id").alias("_of_id"), F.col("_h").alias("_of_h"), "region", F.col("lines").alias("want"), "spans").unionByName(
+        regions.select(F.col("to_id").alias("_of_id"), F.col("to_h").alias("_of_h"), "region", there.alias("want")), allowMissingColumns=True
+    )
+    rows = keyed(docs, text).select("_id", "_h", F.col(text).cast("string").alias("t"))
+    joined = rows.join(asked.hint("merge"), F.col("_id").eqNullSafe(F.col("_of_id")) & (F.col("_h") == F.col("_of_h")))
+    # a lambda's variable holds the lines, so that they are split once
+    own = F.get(F.transform(F.array(F.split("t", "\n", -1)), lambda x: F.transform("want", lambda i: F.get(x, i).cast("binary"))), 0)
+    sides = joined.select("region", "_id", "_h", "want", "spans", own.alias("own"))
+    here = F.max(F.when(F.col("spans").isNotNull(), F.struct("_id", "_h", "want", "spans", "own"))).alias("here")
+    both = sides.groupBy("region").agg(here, F.max(F.when(F.col("spans").isNull(), F.col("own"))).alias("other"))
+    differ = F.filter(F.col("here.want"), lambda i: ~F.coalesce(F.get("here.own", F.array_position("here.want", i).cast("int") - 1) == F.get("other", F.array_position("here.want", i).cast("int") - 1), F.lit(False)))
+    # only where some line differs are lines looked at one by one
+    told = both.withColumn("differ", F.when(F.col("here.own") == F.col("other"), F.filter(F.col("here.want"), lambda i: F.lit(False))).otherwise(differ))
+    same = lambda s: s["even"] & ~F.exists("differ", lambda i: (i >= s["start"]) & (i < s["stop"]))
+    compared = cut(told.select("here._id", "here._h", F.filter("here.spans", same).alias("same"), F.filter("here.spans", lambda s: ~same(s)).alias("others")), "compared")
+    places = lambda c: compared.select("_id", "_h", F.explode(c).alias("s")).select(F.struct("_id", "_h", "s.start", "s.stop").alias("place"))
+    copies = places("same")
+    if compared.where(F.size("others") > 0).limit(1).count():
+        # a unit of equal digest but other bytes is no copy of the first; such units are compared among themselves
+        texts = units.select("_id", "_h", "start", "stop", "unit")
+        wanted = places("others").select(*[F.col(f"place.{c}").alias(f"of_{c}") for c in ("_id", "_h", "start", "stop")])
+        alike = F.col("_id").eqNullSafe(F.col("of__id"))
+        for c in ("_h", "start", "stop"):
+            alike &= F.col(c) == F.col(f"of_{c}")
+        rest = texts.join(wanted, alike).select(place.alias("place"), "unit").distinct()
+        copies = copies.unionByName(rest.join(rest.groupBy("unit").agg(F.min("place").alias("one")), "unit").where("place <> one").select("place"))
+    return copies
 
 
 def _gone(gone: DataFrame) -> DataFrame:

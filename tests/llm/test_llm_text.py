@@ -450,3 +450,15 @@ def test_prediction_does_not_depend_on_batches(spark):
     texts = [r["text"] for r in df.collect()]
     whole = model.entropies(texts)[0]
     assert np.allclose(whole, np.concatenate([model.entropies([t])[0] for t in texts]), atol=1e-5)
+
+
+@pytest.mark.parametrize("passages", [True, False])
+def test_line_units_are_compared_by_their_bytes(spark, monkeypatch, passages):
+    """Units of equal digest but other bytes are no copies of each other."""
+    asked = []
+    monkeypatch.setattr(linededup, "digest_of", lambda unit: asked.append(unit) or F.length(unit) % 7, raising=False)
+    rng = random.Random(18)
+    pool = [long_line(rng, rng.choice([1, 5, 70])) for _ in range(12)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) for _ in range(30)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs(spark, texts), passages=passages).collect()}
+    assert asked and [got[i] for i in range(len(texts))] == plain_lines(texts, passages=passages)
