@@ -14,12 +14,17 @@ beyond what keys of two segments of 64 bits reach. So
 Texts that meet and whose fingerprints are near enough are candidates; the sets of shingles themselves decide. Equal
 sets are one node from the start. A group of a few gives all its candidates, a larger one a spanning forest of them, in
 an order that differs by key, so that a text which isn't similar to one pivot meets others.
+
+Links that these keys miss are found by an exact completion. Sets of similarity s or more share one of the first
+n - ceil(s * n) + 1 shingles of either, in any common order (prefix filter): texts of different groups that share one, and
+whose sizes and parities of shingles allow the similarity, are compared too. The order takes shingles last that are common
+in a sample; that changes speed, not results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import acos, pi, sqrt
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import golay, simhash
-from quireflow.llm.common import cut, in_batches, map_arrow, utf8_of
+from quireflow.llm.common import cut, drop_table, in_batches, map_arrow, utf8_of
 from quireflow.llm.components import components
 
 #: Production parameters: words in a shingle and least similarity.
@@ -40,6 +45,9 @@ BLOCK, FEW = 4096, 8
 DEVIATIONS = 4
 #: Texts whose keys go out at once.
 AT_ONCE = 512
+#: Completion: words of 64 parities of a text's shingles, rows in the sample of shingles, texts in which one is common,
+#: and texts in a block.
+PARITIES, SAMPLE, COMMON, PREFIX_BLOCK = 8, 2000, 3, 1024
 F_NAMES, M_NAMES = [f"f{i}" for i in range(PRINTS)], [f"m{i}" for i in range(LEAST)]
 
 
@@ -63,21 +71,54 @@ def most_bits(similarity: float) -> int:
     return int(n * p + DEVIATIONS * sqrt(n * p * (1 - p)))
 
 
-def sketches(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """(doc_id, digest, f0.., m0..): digest of the set of shingles, fingerprints and least shingles; m is null where
-    there is no shingle."""
+def common_shingles(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """The shingles of at least COMMON of some SAMPLE rows, sorted; they only order prefixes."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(7)), F.lit(every)) == 0).limit(2 * SAMPLE)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, words) for t in utf8_of(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    counts = map_arrow(some.select(F.col(text).cast("string").alias("t")), run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["h"] for r in counts.select("h").limit(100 * SAMPLE).collect()], dtype=np.int64).view(np.uint64))
+
+
+def prefix(own: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of n shingles: common ones last, else by a mix of their hashes."""
+    if not len(own):
+        return own
+    n = len(own)
+    order = np.lexsort((mix(own, PRINTS + LEAST), np.isin(own, common)))
+    return own[order[: n - ceil(similarity * n - 1e-9) + 1]]
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * PARITIES cells: whether it holds an odd number of the shingles. Sets differ in at least as
+    many shingles as their parities in bits."""
+    odd = np.bincount((own % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def sketches(docs: DataFrame, text: str, words: int, similarity: float = SIMILARITY, common: np.ndarray = np.zeros(0, dtype=np.uint64)) -> DataFrame:
+    """(doc_id, digest, f0.., m0.., size, bits, prefix): digest and size of the set of shingles, fingerprints, least
+    shingles, parities and prefix; m is null where there is no shingle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, prints, least = [], [], []
+        digests, prints, least, sizes, bits, firsts = [], [], [], [], [], []
         for t in utf8_of(batch.column(1)):
             own = shingle_set(t, words)
             digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             prints.append([simhash.majority(mix(own[at : at + simhash.CHUNK], i) for at in range(0, len(own), simhash.CHUNK)) for i in range(PRINTS)])
             least.append([int(mix(own, PRINTS + i).min()) for i in range(LEAST)] if len(own) else [None] * LEAST)
+            sizes.append(len(own))
+            bits.append(parities(own).tobytes())
+            firsts.append(prefix(own, similarity, common).view(np.int64))
         longs = [pa.array(c, pa.uint64()).view(pa.int64()) for c in (*zip(*prints), *zip(*least))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *longs], ["doc_id", "digest", *F_NAMES, *M_NAMES])
+        more = [pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), *longs, *more], ["doc_id", "digest", *F_NAMES, *M_NAMES, "size", "bits", "prefix"])
 
-    schema = "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in F_NAMES + M_NAMES)
+    schema = "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in F_NAMES + M_NAMES) + ", size long, bits binary, prefix array<long>"
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")), run, schema)
 
 
@@ -176,26 +217,69 @@ def similar(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity
     return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def allowed(size: np.ndarray, bits: np.ndarray, group: np.ndarray, at: int, similarity: float) -> np.ndarray:
+    """Positions after `at` of texts of another group whose sizes and parities allow the similarity."""
+    a, b = int(size[at]), size[at + 1 :]
+    fits = (group[at + 1 :] != group[at]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+    rest = np.nonzero(fits)[0] + at + 1
+    apart = np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64)
+    return rest[apart <= (a + size[rest]) * (1 - similarity) / (1 + similarity) + 1e-9]
+
+
+def missed(nodes: DataFrame, groups: DataFrame, similarity: float, block: int = PREFIX_BLOCK) -> DataFrame:
+    """(u, v), u < v: nodes of different groups(id, component_id) that may be similar, a superset of those that are."""
+    spread = cut(nodes.where("size > 0").select("id", "prefix").join(groups.hint("merge"), "id"), "prefixes")
+    rows = spread.select(F.explode("prefix").alias("k"), "id", F.col("component_id").alias("g"))
+    # a shingle within one group tells nothing
+    between = rows.groupBy("k").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("k", "n")
+    shared = cut(rows.join(between.hint("merge"), "k"), "prefix-keys")
+    drop_table(spread)
+    dealt = shared.join(nodes.select("id", "node", "size", "bits").hint("merge"), "id").withColumn("of", F.ceil(F.col("n") / block).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), "of").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    met_ = dealt.groupBy("k", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.collect_list(F.struct("node", "g", "size", "bits")).alias("of")).where("size(of) > 1").select("of")
+
+    def meet(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        members, at = batch.column(0).flatten(), batch.column(0).offsets.to_numpy()
+        at = at - at[0]
+        node, group, size = (members.field(i).to_numpy() for i in range(3))
+        bits = np.frombuffer(b"".join(members.field(3).to_pylist()), dtype="<u8").reshape(-1, PARITIES)
+        a, b = [], []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist()):
+            for i in range(e - s - 1):
+                hit = allowed(size[s:e], bits[s:e], group[s:e], i, similarity)
+                a.append(np.full(len(hit), node[s + i]))
+                b.append(node[s + hit])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"]) if len(a) else None
+
+    return map_arrow(met_, meet, "u long, v long").where("u <> v").distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): component_id is the least doc_id that can be reached by links between texts whose sets
     of `words`-word shingles (a shorter text: all its words) have a Jaccard similarity of at least `similarity`.
 
-    Candidates come from keys that meet by chance, so a link near the least similarity can be missed (measured in the
-    tests); no link that is found is less similar. Null, empty and blank texts have no shingle and are equal. The rows
+    Keys of fingerprints give most links; what they miss between groups comes from prefixes of the sets, so that the
+    groups are those of all links. Null, empty and blank texts have no shingle and are equal. The rows
     of one doc_id are linked. A row without doc_id gets a null component_id and links nothing. No rows give no rows;
     other columns of docs don't matter, whatever their names.
     """
-    own = cut(sketches(docs, text, words), "sketches")
+    own = cut(sketches(docs, text, words, similarity, common_shingles(docs, text, words)), "sketches")
     known = own.where("doc_id is not null")
-    nodes = cut(known.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in F_NAMES + M_NAMES)), "nodes")
+    merged = known.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in [*F_NAMES, *M_NAMES, "size", "bits", "prefix"]))
+    nodes = cut(merged.withColumn("id", F.monotonically_increasing_id()), "nodes")
     pairs = cut(candidates(nodes, most_bits(similarity)), "candidates")
     links = similar(docs, pairs, text, words, similarity)
     # a doc_id with several rows joins their texts
     several = known.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
     more = known.join(several, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = components(links.unionByName(more), "u", "v")
-    roots = nodes.join(found, nodes["node"] == found["node"], "left").select("digest", F.coalesce(found["component"], nodes["node"]).alias("component_id"))
-    return own.join(roots, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    first = cut(nodes.join(found.hint("merge"), nodes["node"] == found["node"], "left").select("id", "digest", nodes["node"], F.coalesce(found["component"], nodes["node"]).alias("component_id")), "groups")
+    rest = cut(missed(nodes, first.select("id", "component_id"), similarity), "missed")
+    if rest.limit(1).count():
+        joined = similar(docs, rest, text, words, similarity).unionByName(first.select(F.col("node").alias("u"), F.col("component_id").alias("v")))
+        found = components(joined, "u", "v")
+        first = first.join(found.hint("merge"), first["node"] == found["node"], "left").select("digest", F.coalesce(found["component"], first["node"]).alias("component_id"))
+    return own.join(first.select("digest", "component_id").hint("merge"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -98,3 +98,25 @@ def test_odd_tables(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(False, 3, 3), (False, 3, 3), (False, 5, 3), (False, 7, 7), (False, 8, 7), (True, 0, 0), (True, 0, 0)]
     kept = similar.keep_one(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 3, 3, 7]
+
+
+def test_no_link_is_missed(spark, monkeypatch):
+    """Links whose fingerprints or keys don't meet are found too."""
+    monkeypatch.setattr(similar, "most_bits", lambda similarity: 0)
+    monkeypatch.setattr(similar.missed, "__defaults__", (4,))
+    texts = dict(enumerate(corpus()))
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_copies(docs(spark, list(texts.values()))).collect()}
+    assert got == plain_groups(texts)
+
+
+def test_prefixes_and_parities_allow_what_is_similar():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 40), 500]:
+        for similarity in (0.5, 0.8, 0.9):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            most = int(len(a) * (1 - similarity) + 1e-9)
+            b = np.unique(a[most:])
+            common = rng.permutation(a)[: n // 2]
+            assert set(similar.prefix(a, similarity, common).tolist()) & set(similar.prefix(b, similarity, common).tolist())
+            size, bits = np.array([len(a), len(b)]), np.stack([similar.parities(a), similar.parities(b)])
+            assert similar.allowed(size, bits, np.array([1, 2]), 0, similarity).tolist() == [1]
