@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 Arrays = dict[str, np.ndarray]
 
@@ -26,6 +26,28 @@ def _starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.nonzero(change)[0]
 
 
+def map_tables(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """fn over tables of whole groups, sorted by keys and `order`, with the groups' starts and stops in them. A window deals
+    and sorts the rows: those that lie by key already, as after a join, are not shuffled again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            starts = _starts(table, keys)
+            if len(starts) > 1 and (ready := fn(table.slice(0, int(starts[-1])), starts[:-1], starts[1:])) is not None:
+                yield ready
+            held = table.slice(int(starts[-1])).combine_chunks()
+        if held is not None and (ready := fn(held, np.array([0]), np.array([held.num_rows]))) is not None:
+            yield ready
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).mapInArrow(run, schema)
+
+
 def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[Arrays], Arrays], out: dict[str, str], schema: str) -> DataFrame:
     """fn over each group's columns, sorted by `order`, as arrays without nulls; it returns arrays of `out`'s columns
     (name to Arrow type), a row each. The result has the keys before them."""
@@ -47,18 +69,4 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[A
         columns += [pa.array(np.concatenate(parts[n])).cast(kind) for n, kind in out.items()]
         return pa.RecordBatch.from_arrays(columns, [*keys, *out])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            starts = _starts(table, keys)
-            if len(starts) > 1 and (ready := done(table, starts[:-1], starts[1:])) is not None:
-                yield ready
-            held = table.slice(int(starts[-1])).combine_chunks()
-        if held is not None and (ready := done(held, np.array([0]), np.array([held.num_rows]))) is not None:
-            yield ready
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return map_tables(df, keys, order, done, schema)

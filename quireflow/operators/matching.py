@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quireflow.constants import ALIGN_IOU, AP_THRESHOLDS, FIELD_IOU
 from quireflow.functions import geometry as G
-from quireflow.operators.grouped import Arrays, map_groups
+from quireflow.operators.grouped import Arrays, map_groups, map_tables
 
 #: Ranges of confidence for running sums.
 BANDS = 4096
+#: Thresholds whose hits share a long, and steps of a precision envelope in a row.
+LEVELS, STEPS = 62, 4096
 
 
 def nearest_region(tokens: DataFrame, regions: DataFrame, key: str = "doc", token_pos: str = "pos", region_pos: str = "region_pos") -> DataFrame:
@@ -70,40 +78,92 @@ def greedy_align(truth: DataFrame, predicted: DataFrame, key: str = "doc", truth
     return map_groups(small, [key], ["t", "p"], run, out, f"{key} {dict(pairs.dtypes)[key]}, {truth_pos} long, {predicted_pos} long, iou double")
 
 
+def _matched(table: pa.Table, starts: np.ndarray, stops: np.ndarray, thresholds: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of whole groups: a row of each prediction, its hits and its overlaps by threshold. A pair without
+    overlap stands for a prediction that overlaps nothing."""
+    column = lambda n: table.column(n).to_numpy()
+    group = np.repeat(np.arange(len(starts)), stops - starts)
+    # candidates of each prediction side by side: predictions by confidence, their candidates by overlap
+    at = np.lexsort((column("pos"), -column("iou"), column("pred_pos"), -column("confidence"), group))
+    group, name, other, iou = group[at], column("pred_pos")[at], column("pos")[at], column("iou")[at]
+    first = np.nonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (group[1:] != group[:-1]))))[0]
+    best = np.repeat(iou[first][:, None], len(thresholds), axis=1)
+    hits = (best >= np.array(thresholds)) & (best > 0)
+    # only where predictions share a true box does it matter which of them comes first
+    met = np.nonzero(iou > 0)[0]
+    met = met[np.lexsort((other[met], group[met]))]
+    shared = np.unique(group[met[1:]][(group[met[1:]] == group[met[:-1]]) & (other[met[1:]] == other[met[:-1]])])
+    ends = np.append(first[1:], len(name))
+    lows, highs = np.searchsorted(group[first], shared), np.searchsorted(group[first], shared, side="right")
+    for low, high in zip(lows.tolist(), highs.tolist()):
+        own = list(zip(range(low, high), first[low:high].tolist(), ends[low:high].tolist()))
+        base = own[0][1]
+        others, ious = other[base : own[-1][2]].tolist(), iou[base : own[-1][2]].tolist()
+        for i, t in enumerate(thresholds):
+            taken: set[int] = set()
+            for k, s, e in own:
+                found = next((x for x in range(s - base, e - base) if ious[x] > 0 and others[x] not in taken), None)
+                overlap = ious[found] if found is not None else 0.0
+                hits[k, i] = hit = found is not None and overlap >= t
+                best[k, i] = overlap
+                if hit:
+                    taken.add(others[found])
+    return at[first], hits, best
+
+
+def matches(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...], keys: list[str]) -> DataFrame:
+    """(keys.., pred_pos, confidence, m0.., best, bests): a row to each prediction. Its hits are bits of m0, m1.., LEVELS
+    thresholds to each; best is its overlap, unless it differs by threshold: bests has them then, else it is null.
+
+    Predictions take true boxes by descending confidence, within a group of `keys`; where a key is null, they take none.
+    They are set apart, so that both sides are read alike: boxes of one table then share a shuffle."""
+    known = predicted.where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    words = range(0, len(thresholds), LEVELS)
+
+    def run(table: pa.Table, starts: np.ndarray, stops: np.ndarray) -> pa.RecordBatch:
+        rows, hits, best = _matched(table, starts, stops, thresholds)
+        own = [table.column(n).combine_chunks().take(pa.array(rows)) for n in [*keys, "pred_pos", "confidence"]]
+        for w in words:
+            part = hits[:, w : w + LEVELS].astype(np.int64)
+            own.append(pa.array((part << np.arange(part.shape[1])).sum(axis=1)))
+        differ = (best != best[:, :1]).any(axis=1)
+        offsets = np.concatenate(([0], np.cumsum(differ * len(thresholds)))).astype(np.int32)
+        bests = pa.ListArray.from_arrays(pa.array(offsets), pa.array(best[differ].ravel()), mask=pa.array(~differ))
+        return pa.RecordBatch.from_arrays([*own, pa.array(best[:, 0]), bests], names)
+
+    names = [*keys, "pred_pos", "confidence", *(f"m{i}" for i in range(len(words))), "best", "bests"]
+    left = known.select(*keys, F.col("pred_pos").cast("long").alias("pred_pos"), F.col("confidence").cast("double").alias("confidence"), F.col("bbox").alias("_a"))
+    right = truth.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("pos").cast("long").alias("pos"), F.col("bbox").alias("_b"))
+    on = G.iou(F.col("_a"), F.col("_b")) > 0
+    for k in keys:
+        on &= F.col(k) == F.col(f"_{k}")
+    iou = F.coalesce(G.iou(F.col("_a"), F.col("_b")), F.lit(0.0))
+    pairs = left.join(right, on, "left").select(*keys, "pred_pos", "confidence", F.coalesce("pos", F.lit(-1)).alias("pos"), iou.alias("iou"))
+    kinds = dict(predicted.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pred_pos long, confidence double", *(f"m{i} long" for i in range(len(words))), "best double, bests array<double>"])
+    nothing = [*(F.lit(0).cast("long").alias(f"m{i}") for i in range(len(words))), F.lit(0.0).alias("best"), F.lit(None).cast("array<double>").alias("bests")]
+    unknown = predicted.where(reduce(or_, (F.col(k).isNull() for k in keys))).select(*keys, F.col("pred_pos").cast("long").alias("pred_pos"), F.col("confidence").cast("double").alias("confidence"), *nothing)
+    return map_tables(pairs, keys, ["pred_pos", "pos"], run, schema).unionByName(unknown)
+
+
 def detections_matched(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = AP_THRESHOLDS, key: str = "doc", by: tuple[str, ...] = ()) -> DataFrame:
     """predicted(key, pred_pos, bbox, confidence) with threshold, tp and best_iou, a row to each threshold.
 
     Predictions take true boxes by descending confidence, within a document (and the columns `by`, such as a class).
-    Overlaps are computed once for all thresholds.
+    Overlaps are computed once for all thresholds, which repeat rows only at the end.
     """
     keys = [key, *by]
+    found = matches(predicted, truth, thresholds, keys).drop("confidence")
+    base = predicted.withColumn("pred_pos", F.col("pred_pos").cast("long"))
+    level = lambda i, t: F.struct(F.lit(t).alias("threshold"), F.coalesce(F.shiftright(f"m{i // LEVELS}", i % LEVELS).bitwiseAND(F.lit(1)), F.lit(0)).cast("int").alias("tp"), F.coalesce(F.get("bests", F.lit(i)), "best", F.lit(0.0)).alias("best_iou"))
+    levels = F.explode(F.array(*(level(i, t) for i, t in enumerate(thresholds))))
+    return base.join(found, [*keys, "pred_pos"], "left").withColumn("_level", levels).select(*base.columns, "_level.*")
 
-    def run(pairs: Arrays) -> Arrays:
-        # candidates of each prediction side by side: predictions by confidence, their candidates by overlap
-        at = np.lexsort((pairs["pos"], -pairs["iou"], pairs["pred_pos"], -pairs["confidence"]))
-        name, other, iou = pairs["pred_pos"][at], pairs["pos"][at], pairs["iou"][at]
-        starts = np.nonzero(np.concatenate(([True], name[1:] != name[:-1])))[0].tolist()
-        stops = [*starts[1:], len(name)]
-        rows = []
-        for t in thresholds:
-            taken: set[int] = set()
-            for s, e in zip(starts, stops):
-                best = next((i for i in range(s, e) if other[i] not in taken), None)
-                overlap = float(iou[best]) if best is not None else 0.0
-                hit = best is not None and overlap >= t
-                if hit:
-                    taken.add(int(other[best]))
-                rows.append((int(name[s]), t, int(hit), overlap))
-        columns = list(zip(*rows))
-        return {n: np.array(c, dtype=k) for n, c, k in zip(("pred_pos", "threshold", "tp", "best_iou"), columns, (np.int64, float, np.int32, float))}
 
-    base = predicted.withColumn("pred_pos", F.col("pred_pos").cast("long"))
-    pairs = iou_pairs(base, truth.withColumn("pos", F.col("pos").cast("long")), keys, "pred_pos", "pos").join(base.select(*keys, "pred_pos", F.col("confidence").cast("double").alias("confidence")), [*keys, "pred_pos"])
-    kinds = dict(predicted.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pred_pos long", "threshold double", "tp int", "best_iou double"])
-    matched = map_groups(pairs, keys, ["pred_pos", "pos"], run, {"pred_pos": "int64", "threshold": "double", "tp": "int32", "best_iou": "double"}, schema)
-    levels = base.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    return levels.join(matched, [*keys, "pred_pos", "threshold"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("best_iou", F.coalesce("best_iou", F.lit(0.0)))
+def _band() -> Column:
+    """Ranges of descending confidence."""
+    level = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))))
+    return (F.lit(BANDS - 1) - F.floor(level * (BANDS - 1))).cast("int")
 
 
 def average_precision(flags: DataFrame, totals: DataFrame, by: list[str], order: list) -> DataFrame:
@@ -114,8 +174,7 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str], order:
     over all predictions would be one task's sort, so confidences are cut into BANDS ranges: sums of whole bands come
     from one row to a band, and windows run within bands.
     """
-    level = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))))
-    seen = flags.withColumn("_band", (F.lit(BANDS - 1) - F.floor(level * (BANDS - 1))).cast("int"))
+    seen = flags.withColumn("_band", _band())
     keys, whole = [*by, "_band"], Window.partitionBy(*by)
     sums = seen.groupBy(*keys).agg(F.sum("tp").alias("_t"), F.count("*").alias("_c"))
     ahead = whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,13 +192,81 @@ def average_precision(flags: DataFrame, totals: DataFrame, by: list[str], order:
     return out.select(*by, F.when(ok, F.col("_area") / F.col("total")).otherwise(0.0).alias("ap"), F.when(ok, F.col("_hits") / F.col("n")).otherwise(0.0).alias("precision"), F.when(ok, F.col("_hits") / F.col("total")).otherwise(0.0).alias("recall"), "n")
 
 
+def _bits(batch: pa.RecordBatch, count: int) -> Iterator[np.ndarray]:
+    """By threshold, whether each row is a hit."""
+    words = [batch.column(f"m{w}").to_numpy() for w in range((count + LEVELS - 1) // LEVELS)]
+    return ((words[i // LEVELS] >> (i % LEVELS) & 1).astype(bool) for i in range(count))
+
+
+def _envelope(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values raised to the greatest at or after each; equal ones side by side are one, their counts added."""
+    values = np.maximum.accumulate(values[::-1])[::-1]
+    first = np.nonzero(np.concatenate(([True], values[1:] != values[:-1])))[0]
+    return values[first], np.add.reduceat(counts, first)
+
+
 def detection_metrics(predicted: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = AP_THRESHOLDS, key: str = "doc") -> DataFrame:
-    """(threshold, ap, precision, recall, mean_iou, n): one row to each threshold, none without predictions."""
-    matched = detections_matched(predicted, truth, thresholds, key)
-    totals = truth.agg(F.count("*").alias("total"))
-    levels = matched.groupBy("threshold").agg(F.avg("best_iou").alias("mean_iou"))
-    ap = average_precision(matched, levels.select("threshold").crossJoin(F.broadcast(totals)), ["threshold"], [F.col("confidence").desc(), F.col(key), F.col("pred_pos")])
-    return ap.join(levels, "threshold").select("threshold", "ap", "precision", "recall", "mean_iou", "n")
+    """(threshold, ap, precision, recall, mean_iou, n): one row to each threshold, none without predictions.
+
+    As average_precision() has it, for all thresholds at once: a prediction is one row whose hits are bits, and is dealt
+    out once, by its band of confidence. A first pass over the bands sums them up, a second one goes through each in
+    order and gives the steps of its envelope, of which there are few."""
+    count = len(thresholds)
+    dealt = matches(predicted, truth, thresholds, [key]).withColumn("_band", _band()).repartition("_band")
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band, hits, seen, values, counts = None, [], 0, [], []
+
+        def over() -> Iterator[pa.RecordBatch]:
+            for i in range(count if band is not None else 0):
+                for part, at in enumerate(range(0, len(values[i]), STEPS)):
+                    columns = [pa.array([x], pa.int32()) for x in (i, band, part)]
+                    columns += [pa.array([x[i][at : at + STEPS]], kind) for x, kind in ((values, pa.list_(pa.float64())), (counts, pa.list_(pa.int64())))]
+                    yield pa.RecordBatch.from_arrays(columns, ["_i", "_band", "_part", "_values", "_counts"])
+
+        for batch in batches:
+            heads = batch.column("_head")
+            cuts = np.nonzero(~heads.is_null().to_numpy(zero_copy_only=False))[0].tolist()
+            for s, e in zip([0, *cuts], [*cuts, batch.num_rows]):
+                part = batch.slice(s, e - s)
+                if e > s and (head := heads[s].as_py()) is not None:
+                    yield from over()
+                    head = json.loads(head)
+                    band, seen, hits = head["_band"], head["_n0"], head["_t0"]
+                    values, counts = [np.zeros(0)] * count, [np.zeros(0, dtype=np.int64)] * count
+                for i, hit in enumerate(_bits(part, count)):
+                    at = np.nonzero(hit)[0]
+                    if len(at):
+                        precision = (hits[i] + np.arange(1, len(at) + 1)) / (seen + at + 1)
+                        values[i], counts[i] = _envelope(np.concatenate((values[i], precision)), np.concatenate((counts[i], np.ones(len(at), dtype=np.int64))))
+                        hits[i] += len(at)
+                seen += e - s
+        yield from over()
+
+    # every column is named, so that both passes read one shuffle
+    hit = lambda i: F.shiftright(f"m{i // LEVELS}", i % LEVELS).bitwiseAND(F.lit(1))
+    overlap = lambda i: F.coalesce(F.get("bests", F.lit(i)), F.col("best"))
+    sums = dealt.groupBy("_band").agg(F.count("*").alias("_c"), F.max(F.xxhash64(key, "pred_pos", "confidence")).alias("_any"), *(f(c(i)).alias(f"{n}{i}") for i in range(count) for n, f, c in (("t", F.sum, hit), ("o", F.sum, overlap)))).where("_any is not null")
+    levels = F.array(*(F.struct(F.lit(i).alias("_i"), F.col(f"t{i}").alias("_t"), F.col(f"o{i}").alias("_iou")) for i in range(count)))
+    bands = sums.select("_band", "_c", F.explode(levels).alias("_s")).select("_band", "_c", "_s.*")
+    ahead = Window.partitionBy("_i").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    before = bands.select("_i", "_band", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("_t", "_c")))
+    starts = before.groupBy("_band").agg(F.sort_array(F.collect_list(F.struct("_i", "_t0"))).alias("_all"), F.max("_c0").alias("_n0")).select("_band", F.col("_all._t0").alias("_t0"), "_n0")
+    place = F.row_number().over(Window.partitionBy("_band").orderBy(F.col("confidence").desc(), key, "pred_pos"))
+    words = [c for c in dealt.columns if c in {f"m{w}" for w in range(count)}]
+    # at most BANDS rows are broadcast; the join leaves the order as it is, and the first row of a band brings its sums.
+    # Columns are few: each costs time a row on its way to Python
+    head = F.when(F.col("_place") == 1, F.to_json(F.struct("_band", "_t0", "_n0", "best", "bests")))
+    rows = dealt.withColumn("_place", place).join(F.broadcast(starts), "_band", "left").select(head.alias("_head"), *words)
+    found = rows.mapInArrow(steps, "_i int, _band int, _part int, _values array<double>, _counts array<long>")
+    after = Window.partitionBy("_i").orderBy(F.col("_band").desc(), F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = found.withColumn("_later", F.coalesce(F.max(F.get("_values", F.lit(0))).over(after), F.lit(0.0)))
+    area = F.aggregate(F.zip_with("_values", "_counts", lambda v, c: F.greatest(v, F.col("_later")) * c), F.lit(0.0), lambda a, x: a + x)
+    areas = later.groupBy("_i").agg(F.sum(area).alias("_area"))
+    whole = bands.groupBy("_i").agg(F.sum("_t").alias("_hits"), F.sum("_c").alias("n"), F.sum("_iou").alias("_iou"))
+    out = whole.join(areas, "_i", "left").crossJoin(F.broadcast(truth.agg(F.count("*").alias("total"))))
+    share = lambda a, b: F.when(F.col("total") > 0, F.coalesce(F.col(a), F.lit(0.0)) / F.col(b)).otherwise(0.0)
+    return out.select(F.get(F.array(*map(F.lit, thresholds)), F.col("_i")).alias("threshold"), share("_area", "total").alias("ap"), share("_hits", "n").alias("precision"), share("_hits", "total").alias("recall"), (F.col("_iou") / F.col("n")).alias("mean_iou"), "n")
 
 
 def mean_average_precision(metrics: DataFrame) -> DataFrame:

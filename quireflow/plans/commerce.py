@@ -21,10 +21,11 @@ boxes AS (
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc, pos, bbox, d, n, label): a box to each line item."""
-    li = table(spark, sf_dir, "lineitem")
+    """(doc, pos, bbox, d, n, label): a box to each line item. The window comes before the columns made of its rows: so only
+    the table's own columns are shuffled, once for all boxes of a query, and later joins by document find them dealt."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag"]
-    pos = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)) - 1).cast("long")
+    li = table(spark, sf_dir, "lineitem").withColumn("_place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)))
+    pos = (F.col("_place") - 1).cast("long")
     x1, y1 = (F.col("l_quantity") * 30).cast("int"), F.floor(F.col("l_extendedprice") / 60).cast("int")
     b = G.box(x1, y1, x1 + 60 + (F.col("l_partkey") % 200).cast("int"), y1 + 20 + (F.col("l_suppkey") % 40).cast("int"))
     return li.select(F.col("l_orderkey").alias("doc"), pos.alias("pos"), b.alias("bbox"), F.col("l_discount").alias("d"), F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("label"))

@@ -116,6 +116,36 @@ def test_detection_ap_against_a_loop(spark):
     assert 0 <= both["map_50_95"] <= both["map_50"] <= 1
 
 
+def test_detection_ap_of_equal_confidences_and_many_thresholds(spark):
+    """Several longs of hits, few bands with ties, predictions that share true boxes, and one without a document."""
+    rng = random.Random(5)
+    truth = [(d, i, b) for d in range(30) for i, b in enumerate(random_boxes(rng, 8, 60, 100))]
+    predicted = [(d, i, (b[0] + rng.randint(-9, 9), b[1], b[2] + 3, b[3]), rng.choice([0.2, 0.5, 0.9])) for d, i, b in truth if rng.random() < 0.8] + [(None, 0, (0, 0, 50, 50), 0.1)]
+    thresholds = tuple(i / 70 for i in range(1, 70))
+    frames = spark.createDataFrame(predicted, f"doc int, pred_pos int, bbox {BOX}, confidence double"), spark.createDataFrame([*truth, (None, 0, (0, 0, 50, 50))], f"doc int, pos int, bbox {BOX}")
+    plain = [(p[0] if p[0] is not None else -1, *p[1:]) for p in predicted]
+    got = {r["threshold"]: r for r in matching.detection_metrics(*frames, thresholds).collect()}
+    assert sorted(got) == sorted(thresholds)
+    for t in thresholds[::6]:
+        ap, mean = plain_ap(plain, [*truth, (-2, 0, (0, 0, 50, 50))], t)
+        assert abs(got[t]["ap"] - ap) < 1e-9 and abs(got[t]["mean_iou"] - mean) < 1e-9 and got[t]["n"] == len(predicted)
+    rows = matching.detections_matched(*frames, thresholds)
+    assert rows.count() == len(predicted) * len(thresholds) and rows.where("tp = 1").count() == sum(round(r["recall"] * (len(truth) + 1)) for r in got.values())
+
+
+def test_detection_ap_shuffles_little(spark):
+    """Boxes are shuffled once and a prediction once more, not its thresholds."""
+    from quireflow.plans import commerce
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    at = written()
+    assert commerce.detection_ap(spark, "/root/testdata/sf0.01").count() == 10
+    assert written() - at < 6_000_000
+
+
 def test_perfect_ap(spark):
     truth = spark.createDataFrame([(1, 0, (0, 0, 9, 9)), (1, 1, (20, 20, 30, 30))], f"doc int, pos int, bbox {BOX}")
     p = truth.withColumnRenamed("pos", "pred_pos").withColumn("confidence", F.lit(0.9))
