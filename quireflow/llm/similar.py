@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from quireflow.llm import golay, simhash
-from quireflow.llm.common import cut, drop_table, in_batches, map_arrow, utf8_of
+from quireflow.llm.common import cut, drop_table, free_shuffles, in_batches, map_arrow, utf8_of
 from quireflow.llm.components import components
 
 #: Production parameters: words in a shingle and least similarity.
@@ -48,6 +48,8 @@ AT_ONCE = 512
 #: Completion: words of 64 parities of a text's shingles, rows in the sample of shingles, texts in which one is common,
 #: and texts in a block.
 PARITIES, SAMPLE, COMMON, PREFIX_BLOCK = 8, 2000, 3, 1024
+#: Cells in which a text's shingles are counted before its set is sent to another's.
+CELLS = 1024
 F_NAMES, M_NAMES = [f"f{i}" for i in range(PRINTS)], [f"m{i}" for i in range(LEAST)]
 
 
@@ -204,19 +206,49 @@ def candidates(nodes: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
     return map_arrow(groups, meet, "u long, v long").where("u <> v").distinct()
 
 
+def histogram(own: np.ndarray) -> np.ndarray:
+    """How many of the shingles each of CELLS cells holds, up to 255. Sets differ in at least as many shingles as the
+    counts do, cell by cell; unlike parities, counts tell long texts apart."""
+    return np.minimum(np.bincount((own % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8)
+
+
+def may_be(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether rows of histograms allow the similarity of sets; sizes: both sets' sizes added."""
+    apart = np.abs(a.astype(np.int16) - b).sum(axis=1, dtype=np.int64)
+    return apart <= sizes * (1 - similarity) / (1 + similarity) + 1e-9
+
+
 def similar(docs: DataFrame, pairs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (u, v) of doc_ids whose sets of shingles have at least this Jaccard similarity."""
+    """Those of the pairs (u, v) of doc_ids whose sets of shingles have at least this Jaccard similarity.
+
+    A pair takes its sets along, which are larger than the texts. So histograms go first: most pairs that share but a
+    shingle end there."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, words).view(np.int64) for t in utf8_of(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+        sets = [shingle_set(t, words) for t in utf8_of(batch.column(1))]
+        cells = [histogram(s).tobytes() for s in sets]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(cells, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["node", "s", "cells", "n"])
+
+    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, CELLS) for i in (2, 3))
+        hit = pa.array(may_be(a, b, batch.column(4).to_numpy(), similarity))
+        return pa.RecordBatch.from_arrays([batch.column(i).filter(hit) for i in range(2)], ["u", "v"])
 
     ids = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("t")).distinct().join(ids, "node", "left_semi")
-    sets = cut(map_arrow(texts, run, "node long, s array<long>"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    # (distinct last: rows lie by node after the join, so that texts move once)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).cast("string").alias("t")).join(ids, "node", "left_semi").distinct()
+    sets = cut(map_arrow(texts, run, "node long, s array<long>, cells binary, n long"), "shingles")
+    side = lambda n, *c: sets.select(F.col("node").alias(n), *(F.col(x).alias(f"{x}_{n}") for x in c))
+    near_ = pairs.join(side("u", "cells", "n"), "u").join(side("v", "cells", "n"), "v").select("u", "v", "cells_u", "cells_v", (F.col("n_u") + F.col("n_v")).alias("n"))
+    rest = cut(map_arrow(near_, told, "u long, v long").distinct(), "allowed")
+    free_shuffles(docs.sparkSession)
+    both = rest.join(side("u", "s"), "u").join(side("v", "s"), "v")
+    shared = F.size(F.array_intersect("s_u", "s_v"))
+    found = cut(both.where(shared >= F.lit(similarity) * (F.size("s_u") + F.size("s_v") - shared)).select("u", "v"), "links")
+    drop_table(sets)
+    drop_table(rest)
+    free_shuffles(docs.sparkSession)
+    return found
 
 
 def allowed(size: np.ndarray, bits: np.ndarray, group: np.ndarray, at: int, similarity: float) -> np.ndarray:
@@ -265,22 +297,27 @@ def near_copies(docs: DataFrame, text: str = "text", words: int = WORDS, similar
     of one doc_id are linked. A row without doc_id gets a null component_id and links nothing. No rows give no rows;
     other columns of docs don't matter, whatever their names.
     """
+    spark = docs.sparkSession
     own = cut(sketches(docs, text, words, similarity, common_shingles(docs, text, words)), "sketches")
     known = own.where("doc_id is not null")
     merged = known.groupBy("digest").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in [*F_NAMES, *M_NAMES, "size", "bits", "prefix"]))
     nodes = cut(merged.withColumn("id", F.monotonically_increasing_id()), "nodes")
     pairs = cut(candidates(nodes, most_bits(similarity)), "candidates")
+    free_shuffles(spark)
     links = similar(docs, pairs, text, words, similarity)
+    drop_table(pairs)
     # a doc_id with several rows joins their texts
     several = known.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).where("one <> other").select("doc_id")
     more = known.join(several, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     found = components(links.unionByName(more), "u", "v")
     first = cut(nodes.join(found.hint("merge"), nodes["node"] == found["node"], "left").select("id", "digest", nodes["node"], F.coalesce(found["component"], nodes["node"]).alias("component_id")), "groups")
     rest = cut(missed(nodes, first.select("id", "component_id"), similarity), "missed")
+    free_shuffles(spark)
     if rest.limit(1).count():
         joined = similar(docs, rest, text, words, similarity).unionByName(first.select(F.col("node").alias("u"), F.col("component_id").alias("v")))
         found = components(joined, "u", "v")
         first = first.join(found.hint("merge"), first["node"] == found["node"], "left").select("digest", F.coalesce(found["component"], first["node"]).alias("component_id"))
+    free_shuffles(spark)
     return own.join(first.select("digest", "component_id").hint("merge"), "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 

@@ -120,3 +120,34 @@ def test_prefixes_and_parities_allow_what_is_similar():
             assert set(similar.prefix(a, similarity, common).tolist()) & set(similar.prefix(b, similarity, common).tolist())
             size, bits = np.array([len(a), len(b)]), np.stack([similar.parities(a), similar.parities(b)])
             assert similar.allowed(size, bits, np.array([1, 2]), 0, similarity).tolist() == [1]
+
+
+def test_histograms_allow_what_is_similar():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 60, 3000, 400_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b, other = a[int(len(a) * 0.2 + 1e-9) :], np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        cells = [similar.histogram(x)[None] for x in (a, b, other)]
+        assert similar.may_be(cells[0], cells[1], np.array([len(a) + len(b)]), 0.8).all()
+        assert n > 20_000 or not similar.may_be(cells[0], cells[2], np.array([len(a) + len(other)]), 0.8).any()
+
+
+def test_long_texts_that_share_a_passage_move_little(spark):
+    """Pairs whose parities tell nothing go no further than their histograms; the similar one is found."""
+    rng = random.Random(6)
+    passage = [f"w{rng.randrange(3000)}" for _ in range(30)]
+    texts = [" ".join(passage + [f"w{rng.randrange(3000)}" for _ in range(4000)]) for _ in range(24)]
+    texts.append(" ".join(texts[0].split()[:-90]))
+    pairs = spark.createDataFrame([(a, b) for b in range(len(texts)) for a in range(b)], "u long, v long")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = written()
+        got = [tuple(r) for r in similar.similar(docs(spark, texts), pairs, "text", 5, 0.8).collect()]
+        assert got == [(0, len(texts) - 1)] and written() - at < 5_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
