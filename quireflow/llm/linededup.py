@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quireflow.llm.common import cut, drop_table
+from quireflow.llm.common import cut, drop_table, free_shuffles
 
 #: Production parameters: lines under the rolling hash, mean lines in a chunk, words of a passage in one line.
 WINDOW, DIVISOR, LONG_WORDS = 2, 4, 50
@@ -111,6 +111,7 @@ def _copies(docs: DataFrame, text: str, units: DataFrame) -> DataFrame:
     regions = cut(shifts.withColumn("lines", lines).withColumn("region", F.monotonically_increasing_id()), "regions")
     drop_table(found)
     drop_table(again)
+    free_shuffles(docs.sparkSession)
     # both documents of a region give its lines, in one join
     there = F.transform("lines", lambda i: i - F.col("shift"))
     asked = regions.select(F.col("_id").alias("_of_id"), F.col("_h").alias("_of_h"), "region", F.col("lines").alias("want"), "spans").unionByName(
@@ -128,6 +129,8 @@ def _copies(docs: DataFrame, text: str, units: DataFrame) -> DataFrame:
     told = both.withColumn("differ", F.when(F.col("here.own") == F.col("other"), F.filter(F.col("here.want"), lambda i: F.lit(False))).otherwise(differ))
     same = lambda s: s["even"] & ~F.exists("differ", lambda i: (i >= s["start"]) & (i < s["stop"]))
     compared = cut(told.select("here._id", "here._h", F.filter("here.spans", same).alias("same"), F.filter("here.spans", lambda s: ~same(s)).alias("others")), "compared")
+    drop_table(regions)
+    free_shuffles(docs.sparkSession)
     places = lambda c: compared.select("_id", "_h", F.explode(c).alias("s")).select(F.struct("_id", "_h", "s.start", "s.stop").alias("place"))
     copies = places("same")
     if compared.where(F.size("others") > 0).limit(1).count():
@@ -148,8 +151,9 @@ def _gone(gone: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """docs with _id, _h and gone, the sorted numbers of the lines that a row loses (null: none)."""
-    lost = removals(docs, text, **how)
+    """docs with _id, _h and gone, the sorted numbers of the lines that a row loses (null: none). A merge join: lost grows with
+    the input, and its arrays are far larger than its files."""
+    lost = removals(docs, text, **how).hint("merge")
     rows = keyed(docs, text)
     return rows.join(lost.withColumnsRenamed({"_id": "_lost_id", "_h": "_lost_h"}), F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_h") == F.col("_lost_h")), "left").drop("_lost_id", "_lost_h")
 

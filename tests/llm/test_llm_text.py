@@ -216,6 +216,12 @@ def test_line_dedup_odd_tables(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0 and linededup.report(df.limit(0)).count() == 0
 
 
+def test_lost_lines_are_not_broadcast(spark):
+    """The join with what rows lose is the same on small and large tables."""
+    plan = linededup.marked(docs(spark, ["a\nb", "a\nb"]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 # --- mixing
 
 
